@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import setjoin, topn
+from . import docpairs, setjoin, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_findings(findings, 3).select("finding_id", F.col("rank_no").cast("int").alias("rank_no"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Declarations whose documentation is not trivial."""
+    return docpairs.documented(table(spark, sf, "source_analysis")).select("file_id", "decl_id")
+
+
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each documented function's code with its documentation."""
+    return docpairs.code_doc_pairs(table(spark, sf, "source_analysis"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found}
+    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found}
 
 
 _KEYS = """
