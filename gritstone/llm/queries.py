@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import docpairs, setjoin, topn
+from . import docpairs, leaks, setjoin, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +51,26 @@ def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.code_doc_pairs(table(spark, sf, "source_analysis"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the evaluation items with which they have ten or more successive words in common."""
+    near = leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=10, errors=1)
+    return near.where("longest_run >= 10").select("doc_id", "item_id")
+
+
+def p6_near(spark: SparkSession, sf: str) -> DataFrame:
+    """As p6_found, with passages of ten words in which one word was changed, and how much of the item each gives away."""
+    return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=10, errors=1)
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every evaluation item with the number of documents that give it away word for word."""
+    items = table(spark, sf, "eval_items").select("item_id", "suite")
+    leaks_of = p6_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(leaks_of, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found}
+    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
 
 
 _KEYS = """
@@ -64,8 +82,18 @@ pairs AS (SELECT x AS test_a, y AS test_b FROM both_kill JOIN sizes s ON s.test_
 """
 
 
+_LEAKS = r"""
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+words AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM texts WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT side, id, array_to_string(w[p:p + 9], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 8)) AS p FROM words WHERE len(w) >= 10)),
+found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM windows d JOIN windows i ON d.g = i.g AND d.side = 'd' AND i.side = 'i')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
+        "p6_items": f"WITH {_LEAKS} SELECT item_id, suite, (SELECT count(*) FROM found f WHERE f.item_id = e.item_id) AS documents FROM eval_items e",
         "p4_found": f"WITH {_KEYS} SELECT test_a, test_b FROM pairs",
         "p4_classes": f"""WITH {_KEYS},
             sets AS (SELECT test_no, string_agg(k, chr(10) ORDER BY k) AS s FROM keys GROUP BY test_no),
