@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import docpairs, leaks, setjoin, topn
+from . import docpairs, handwritten, leaks, setjoin, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_findings(findings, 3).select("finding_id", F.col("rank_no").cast("int").alias("rank_no"))
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are not hand-written: generated, minified, copied from third parties, or data saved as code."""
+    kinds = handwritten.classify_files(table(spark, sf, "source_analysis"))
+    return kinds.where("kind <> 'hand-written'").select("file_id")
+
+
+def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind of file: how many, and their lines of code, comment lines and opaque bytes by the latest measurement."""
+    kinds = handwritten.classify_files(table(spark, sf, "source_analysis"))
+    row = F.struct("measured_at", "sloc", "comment_lines", "opaque_bytes")
+    latest = table(spark, sf, "measurement").where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(row).alias("m"))
+    total = lambda c: F.coalesce(F.sum(f"m.{c}"), F.lit(0)).alias(c)
+    return kinds.join(latest, "file_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("files"), total("sloc"), total("comment_lines"), total("opaque_bytes"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Declarations whose documentation is not trivial."""
     return docpairs.documented(table(spark, sf, "source_analysis")).select("file_id", "decl_id")
@@ -70,7 +85,7 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
 
 
 _KEYS = """
