@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import docpairs, handwritten, leaks, setjoin, topn
+from . import docpairs, handwritten, leaks, setjoin, syntax, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,21 @@ def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.join(latest, "file_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("files"), total("sloc"), total("comment_lines"), total("opaque_bytes"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose source has a syntax error in its language."""
+    return syntax.syntax_verdicts(table(spark, sf, "source_analysis")).where("NOT valid").select("file_id")
+
+
+def p2_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each broken file with the cause, the line of the furthest failure and what stands there."""
+    return syntax.syntax_verdicts(table(spark, sf, "source_analysis")).where("NOT valid").select("file_id", "language", "cause", "line", "message")
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, broken files and their share per repository and language."""
+    return syntax.syntax_rates(syntax.syntax_verdicts(table(spark, sf, "source_analysis")))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Declarations whose documentation is not trivial."""
     return docpairs.documented(table(spark, sf, "source_analysis")).select("file_id", "decl_id")
@@ -85,7 +100,7 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
 
 
 _KEYS = """
