@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import docpairs, handwritten, leaks, setjoin, syntax, topn
+from . import docpairs, handwritten, leaks, setjoin, subjects, syntax, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,8 +99,23 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(leaks_of, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document with the one or two subjects it deals with."""
+    found = subjects.assign_subjects(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+    return found.select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and their share per subject; a document with two subjects counts half for each."""
+    found = p8_found(spark, sf)
+    part = found.withColumn("part", 1 / F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    total = part.agg(F.sum("part").alias("all"))
+    by = part.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("part").alias("parts"))
+    return by.join(F.broadcast(total)).select("subject", "documents", F.round(F.col("parts") / F.col("all"), 6).alias("share"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 _KEYS = """
