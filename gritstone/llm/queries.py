@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.session import table
 
-from . import docpairs, handwritten, leaks, setjoin, subjects, syntax, topn
+from . import docpairs, handwritten, leaks, mixing, setjoin, subjects, syntax, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,23 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(leaks_of, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
+def _mix(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    found = subjects.assign_subjects(documents, table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+    topics = found.select("doc_id", F.col("subject").alias("topic"))
+    return mixing.mix_documents(documents, table(spark, sf, "mix_targets"), topics)
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, sf)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share each source should have of the mix's tokens and the share it has."""
+    return mixing.mix_report(_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the one or two subjects it deals with."""
     found = subjects.assign_subjects(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
@@ -115,7 +132,7 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items, "p8_found": p8_found, "p8_composition": p8_composition}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 _KEYS = """
