@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.session import table
+from . import coverage, graph, scoring, state, texts
+
+FAMILIES = (scoring, state, texts, graph, coverage)
 
 
 def ranked_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").limit(10)
+    """The flagship: answers to issues to severities, weights and the first page."""
+    return scoring.ranked_issues(spark, sf)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
