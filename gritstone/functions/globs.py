@@ -43,6 +43,9 @@ def glob_regex(glob: str) -> str:
     brackets stand for themselves."""
     forms = []
     for one in expand_braces(glob):
+        # several in a row say no more than one, and would be tried in every combination
+        while "**/**/" in one:
+            one = one.replace("**/**/", "**/")
         out, i = "", 0
         while i < len(one):
             if one.startswith("**/", i) and (i == 0 or one[i - 1] == "/"):
