@@ -33,7 +33,7 @@ _SQ = r"'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z)"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)"
 _LINE = r"//[^\n]*"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,10}?)'"
-_REGEX = r"(?<=[(,=:\[!&|?{};+~\n])[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"(?:(?<=[(,=:\[!&|?{};+~>])[ \t]*|(?<=\breturn)[ \t]*)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 _PATTERNS = {
     "python": rf'(?P<c>\#[^\n]*)|(?P<s>"""(?:[^"\\]|\\[\s\S]|"(?!""))*(?:"""|\Z)|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*(?:\'\'\'|\Z)|{_DQ}|{_SQ})',
