@@ -21,8 +21,17 @@ _BLOCK, _LINE = r"/\*(?:[^*]|\*(?!/))*\*/", r"//[^\n]*"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,10}?)'"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?[0-9]+)?|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?)"
 _IDENT = r"[^\W\d]\w*"
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}]*\})*\}|`[^`]*`)*\})*`"
-_REGEX = r"(?<=[(,=:\[!&|?{};+~\n>])/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?<=[(,=:\[!&|?{};+~] )/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+
+
+def _template(depth: int) -> str:
+    """A template literal, with templates in its substitutions down to ``depth``."""
+    inner = f"|{_template(depth - 1)}" if depth else ""
+    braces = r"\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}]*\}" + inner + r")*\}" + inner + r")*\}"
+    return r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$" + braces + r")*`"
+
+
+_TEMPLATE = _template(2)
+_REGEX = r"(?:(?<=[(,=:\[!&|?{};+~>])[ \t\n]*|(?<=\breturn)[ \t]*|(?<=\btypeof)[ \t]*|(?<=\bcase)[ \t]*)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 
 def _operators(text: str) -> str:
@@ -43,9 +52,11 @@ class Lexer:
         known = self.kinds.char.get(token)
         if known is not None:
             return known
-        first = token[0]
         if token == "\n":
             return NL
+        if token[0].isspace():
+            token = token.strip() or token
+        first = token[0]
         if self.comment and self.comment.fullmatch(token):
             return NL if self.newline and "\n" in token else ""
         return self.classify(token, first)
@@ -61,7 +72,11 @@ class Lexer:
             return STR
         return BAD
 
+    def prepare(self, text: str) -> str:
+        return text
+
     def kinds_of(self, text: str) -> str:
+        text = self.prepare(text)
         table, out = self.table, []
         if len(table) > 300_000:
             table.clear()
@@ -505,7 +520,7 @@ _C_WORDS = """auto break case char const continue default do double else enum ex
 _C_OPS = "-> ++ -- && || == != <= >= << >> <<= >>= += -= *= /= %= &= |= ^= ... ## { } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = . #"
 _C = """
 File <- Ext* EOF
-@ Ext <- ';' / FuncDef / Declaration / MacroCall
+@ Ext <- ';' / 'extern' STR ('{' Ext* '}' / Ext) / FuncDef / Declaration / MacroCall / ID &{extern static const void char short int long float double unsigned signed struct union enum typedef inline} Ext
 MacroCall <- ID '(' (AnyArg (',' AnyArg)*)? ')' (';' / Block)?
 AnyArg <- Type / Assign
 Attribute <- '__attribute__' '(' '(' (AttrItem (',' AttrItem)*)? ')' ')' / '[' '[' AttrItem (',' AttrItem)* ']' ']' / {asm __asm__} '(' STR+ ')'
@@ -521,7 +536,7 @@ Enum <- 'enum' Attribute* ID? (':' Basic+)? ('{' EnumItem (',' EnumItem)* ','? '
 EnumItem <- ID Attribute* ('=' Cond)?
 Pointer <- ('*' Spec*)*
 Declarator <- Attribute* Pointer Attribute* ('(' Declarator ')' / ID) Suffix* Attribute*
-Suffix <- '[' {static const restrict volatile}* ('*' / Assign)? ']' / '(' Params? ')'
+Suffix <- '[' {static const restrict volatile}* ('*' / Assign)? ']' / '(' Params? ')' (ID Args? &{; { , =})?
 Params <- Param (',' Param)* (',' '...')? / ID (',' ID)*
 Param <- Specs (Declarator / Abstract)? / '...'
 Abstract <- Pointer ('(' Abstract ')' / &{[ (})? Suffix*
@@ -567,6 +582,9 @@ def _c():
     lexer = Lexer(kinds, _C_OPS, rf"(?:\b(?:u8|[uUL]))?(?:{_DQ}|{_CHAR})", rf"//(?:[^\n\\]|\\[\s\S])*|{_BLOCK}", number=number, suffix="[uUlLfFzZ]*", extra=directive)
     classify = lexer.classify
     lexer.classify = lambda token, first: "" if token.lstrip()[0] == "#" and len(token) > 1 else classify(token, first)
+    # what only a C++ compiler reads is blanked out, line by line
+    guarded = re.compile(r"^[ \t]*#[ \t]*(?:ifdef[ \t]+__cplusplus|if[ \t]+defined[ \t(]*__cplusplus[ \t)]*)\b[^\n]*\n(?:(?![ \t]*#)[^\n]*\n)*", re.M)
+    lexer.prepare = lambda text: guarded.sub(lambda m: "#ifdef __cplusplus\n" + "\n" * (m[0].count("\n") - 1), text) if "__cplusplus" in text else text
     return lexer, Grammar(_C, kinds), None
 
 
@@ -602,7 +620,7 @@ Class <- 'class' Name TypeParams? ('(' Args? ')')? ':' Block
 If <- 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)?
 While <- 'while' Named ':' Block ('else' ':' Block)?
 For <- 'for' Targets 'in' Stars ':' Block ('else' ':' Block)?
-With <- 'with' ('(' WithItem (',' WithItem)* ','? ')' / WithItem (',' WithItem)*) ':' Block
+With <- 'with' ('(' WithItem (',' WithItem)* ','? ')' &':' / WithItem (',' WithItem)*) ':' Block
 WithItem <- Expr ('as' Target)?
 Try <- 'try' ':' Block (('except' ('*'? Expr (',' Expr)* ('as' Name)?)? ':' Block)+ ('else' ':' Block)? ('finally' ':' Block)? / 'finally' ':' Block)
 Match <- 'match' Stars ':' NL INDENT Case+ DEDENT
@@ -832,9 +850,6 @@ class _RubyLexer(Lexer):
                     break
         return text
 
-    def kinds_of(self, text: str) -> str:
-        return super().kinds_of(self.prepare(text))
-
 
 def _ruby_lines(lexer: Lexer):
     c = lexer.kinds.char

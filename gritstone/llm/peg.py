@@ -58,7 +58,10 @@ class Grammar:
             name = self._next()["name"]
             assert self._take("<-"), name
             first = first or name
-            self.rules.setdefault(name, [None])[0] = self._rule(name, self._choice(), by_content)
+            self.refers = False
+            body = self._choice()
+            # a rule of tokens alone is as cheap as its memo
+            self.rules.setdefault(name, [None])[0] = self._rule(name, body, by_content) if self.refers or by_content else body
         missing = [n for n, r in self.rules.items() if r[0] is None]
         if missing:
             raise ValueError(f"rules without a definition: {missing}")
@@ -184,6 +187,7 @@ class Grammar:
         if m["name"] == "ANYWORD":
             return self._token(ID, *(self.kinds.char[w] for w in self.kinds.words))
         if m["name"]:
+            self.refers = True
             cell = self.rules.setdefault(m["name"], [None])
             return lambda p: cell[0](p)
         assert m["op"] == "(", m[0]
