@@ -105,7 +105,7 @@ _JS_NAME = "async of get set from as type interface implements declare abstract
 _JS = """
 File <- Item* EOF
 @ Item <- Import / Export / Stmt
-EOS <- ';' / NL / &'}' / EOF
+EOS <- ';' / NL / &'}' / &EOF
 Name <- ID / {%NAME%}
 Import <- 'import' (STR / ImportClause 'from' STR) (('with' / 'as') Object)? EOS
 ImportClause <- 'type' ImportNames &'from' / ImportNames
@@ -352,7 +352,7 @@ SimpleN <- ExprsN ({= := += -= *= /= %= &= |= ^= <<= >>= &^=} ('range' ExprN / E
 If <- 'if' (SimpleN? ';')? ExprN Block ('else' (If / Block))?
 For <- 'for' ('range' ExprN / SimpleN? ';' ExprN? ';' SimpleN? / SimpleN)? Block
 Switch <- 'switch' (SimpleN? ';')? (TypeSwitch / ExprN)? '{' Case* '}'
-TypeSwitch <- (ID ':=')? PostfixN '.' '(' 'type' ')'
+TypeSwitch <- (ID ':=')? PostfixN
 Case <- ('case' CaseItem (',' CaseItem)* / 'default') ':' Stmts
 CaseItem <- Expr / Type
 Select <- 'select' '{' (('case' Simple / 'default') ':' Stmts)* '}'
@@ -774,7 +774,7 @@ Binary <- {.. ...} Unary / Unary (BinOp W Unary)* {.. ...}?
 BinOp <- {+ - * / % ** == === != =~ !~ <=> <= >= < > << >> && || & | ^ .. ...}
 Unary <- {! - + ~ & defined?}* Call
 Call <- Postfix (CommandArgs DoBlock?)?
-CommandArgs <- &(ID / STR / NUM / TPL / {-> :: nil true false self not defined? __method__ __FILE__ __LINE__ __dir__ super yield case if} / '[' / '!' / '*' ID / '&' {:} / '&' ID / '**' ID / ':' (STR / ID)) !{if unless while until rescue} ArgItem (',' W ArgItem)*
+CommandArgs <- &(ID / STR / NUM / TPL / {-> :: nil true false self not defined? __method__ __FILE__ __LINE__ __dir__ super yield case if} / '[' / '!' / '*' ID / '&' STR / '&' ID / '**' ID) !{if unless while until rescue} ArgItem (',' W ArgItem)*
 ArgList <- ArgItem (',' W ArgItem)*
 ArgItem <- {* ** &} Arg? / TPL W (Arg)? / Arg (W '=>' W Arg)? / '...'
 Postfix <- Primary Trailer*
@@ -820,7 +820,8 @@ class _RubyLexer(Lexer):
         inside = r"#\{(?:[^{}\"]|\"[^\"\n]*\"|\{[^{}]*\})*\}"
         dq = rf'"(?:[^"\\#]|\\[\s\S]|#(?!\{{)|{inside})*"'
         percent = r"%[wWiIqQrx]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|\|[^|]*\|)"
-        literals = rf"{dq}|'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`|(?<=[\s(,=\[]){percent}|{_REGEX}"
+        symbol = r":(?<!::)(?:\"(?:[^\"\\]|\\.)*\"|[^\W\d]\w*[?!]?)"
+        literals = rf"{symbol}|{dq}|'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`|(?<=[\s(,=\[]){percent}|{_REGEX}"
         ident = r"(?:@@?|\$)[^\W\d]\w*|\$[0-9!@&~/\;,.<>:\"]|[^\W\d]\w*[?!]?:(?=[\s,)])(?!:)|[^\W\d]\w*(?:[?!](?![=~]))?"
         super().__init__(kinds, _RB_OPS, literals, r"^=begin\b[\s\S]*?^=end\b[^\n]*|#[^\n]*", suffix="r?i?", ident=ident, newline=True, extra=r"\\\n|^__END__$[\s\S]*")
 
@@ -831,6 +832,8 @@ class _RubyLexer(Lexer):
             return TPL
         if token[0] in "@$" and len(token) > 1:
             return "i"
+        if token[0] == ":" and len(token) > 2 - token[-1:].isalnum() and token != "::":
+            return STR
         if token[0] == "%" and len(token) > 2:
             return STR
         return super().kind(token)
