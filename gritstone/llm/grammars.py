@@ -45,7 +45,7 @@ class Lexer:
         self.kinds, self.newline = kinds, newline
         parts = [comments, extra, literals, number + suffix, ident, _operators(operators), r"\n" if newline else "", r"[^\s]"]
         self.pattern = re.compile("|".join(p for p in parts if p), re.M)
-        self.comment = re.compile(comments) if comments else None
+        self.comment = re.compile(comments, re.M) if comments else None
         self.table: dict[str, str] = {}
 
     def kind(self, token: str) -> str:
