@@ -43,7 +43,9 @@ class Lexer:
 
     def __init__(self, kinds: Kinds, operators: str, literals: str, comments: str, number: str = _NUMBER, suffix: str = "", ident: str = _IDENT, newline: bool = False, extra: str = ""):
         self.kinds, self.newline = kinds, newline
-        parts = [comments, extra, literals, number + suffix, ident, _operators(operators), r"\n" if newline else "", r"[^\s]"]
+        # a plain word is the commonest token: tried first, unless what follows may make it the start of another
+        word = r"""[^\W\d]\w*+(?!["'`#$?!:])"""
+        parts = [word, comments, extra, literals, number + suffix, ident, _operators(operators), r"\n" if newline else "", r"[^\s]"]
         self.pattern = re.compile("|".join(p for p in parts if p), re.M)
         self.comment = re.compile(comments, re.M) if comments else None
         self.table: dict[str, str] = {}
@@ -94,6 +96,8 @@ class Lexer:
         return [m.start() for m in self.pattern.finditer(text) for _ in self.kind(m[0])]
 
 
+_several = re.compile("\n\n+")
+
 # ------------------------------------------------------------------------------------------------ JavaScript, TypeScript
 
 _JS_WORDS = """break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch
@@ -222,7 +226,7 @@ def _javascript(typed: bool):
     classify = lexer.classify
     lexer.classify = lambda token, first: "i" if first == "$" else classify(token, first)
     text = _JS.replace("%NAME%", _JS_NAME) + (_TS_ONLY if typed else _JS_ONLY)
-    return lexer, Grammar(text, kinds, skip=True), None
+    return lexer, Grammar(text, kinds, skip=True), lambda k: _several.sub(NL, k)
 
 
 # ------------------------------------------------------------------------------------------------------------------ Java
@@ -717,29 +721,26 @@ class _PythonLexer(Lexer):
         return [max(0, starts[n] - 1) if n >= 0 else len(text) for k, n in self.walk(body)]
 
 
-def _python_guess(grammar: Grammar, p: int) -> int:
+def _python_guess(grammar: Grammar, p: int) -> list[int]:
     """A statement ends with its line, or with the dedent of the block that follows it."""
-    s, match = grammar.state[0], grammar.match
+    s, match, c = grammar.state[0], grammar.match, grammar.kinds.char
     i = p
     while True:
         i = s.find(NL, i)
         if i < 0:
-            return -1
+            return []
         if s[i + 1] != INDENT:
             # a decorator's line belongs to what follows
-            if s[p] == "@":
+            if s[p] == "@" and i < s.find(c["def"], p):
                 i += 1
                 continue
-            return i + 1
+            return [i + 1]
         end = match.get(i + 1, -1)
         if end < 0:
-            return -1
+            return []
         i = end + 1
-        follow = s[i]
-        c = grammar.kinds.char
-        if follow in (c["else"], c["elif"], c["except"], c["finally"]):
-            continue
-        return i
+        if s[i] not in (c["else"], c["elif"], c["except"], c["finally"]):
+            return [i]
 
 
 @cache
@@ -757,8 +758,8 @@ _RB = """
 File <- Stmts EOF
 T <- {;}
 N <- (NL / ';')+
-Stmts <- N? StmtN* Stmt? 
-@ StmtN <- Stmt N
+Stmts <- {;}* NL* (StmtN {;}* NL*)* Stmt?
+@ StmtN <- Stmt (NL / ';')
 Stmt <- StmtBase ({if unless while until rescue} Expr)*
 StmtBase <- 'alias' DefName DefName / 'undef' DefName (',' DefName)* / {BEGIN END} '{' Stmts '}' / MultiAssign / Expr
 MultiAssign <- Multi (',' Multi)+ ','? '=' W ArgList / Multi ',' '=' W ArgList / '*' Postfix '=' W ArgList
@@ -769,7 +770,7 @@ NotExpr <- 'not' NotExpr / Arg (('=>' / 'in') Arg)?
 Arg <- Ternary (AssignOp W (Arg (',' W Splat)* / Splat (',' W Splat)*) ('rescue' Arg)?)?
 AssignOp <- {= += -= *= /= %= **= &&= ||= |= &= ^= <<= >>=}
 Splat <- {* **}? Ternary
-Ternary <- Binary (W '?' W Arg W ':' W Arg)?
+Ternary <- Binary ('?' W Arg W ':' W Arg)?
 Binary <- {.. ...} Unary / Unary (BinOp W Unary)* {.. ...}?
 BinOp <- {+ - * / % ** == === != =~ !~ <=> <= >= < > << >> && || & | ^ .. ...}
 Unary <- {! - + ~ & defined?}* Call
@@ -861,21 +862,16 @@ def _ruby_lines(lexer: Lexer):
     before = re.compile(f"\n+(?=[{re.escape('.' + c['&.'])}])")
 
     def apply(kinds: str) -> str:
-        return before.sub("", after.sub("", kinds))
+        return before.sub("", after.sub("", _several.sub(NL, kinds)))
 
     return apply
 
 
-def _ruby_guess(grammar: Grammar, p: int) -> int:
-    """A method ends with the last ``end`` before the next ``def`` that starts a line; any other statement with its line."""
+def _ruby_guess(grammar: Grammar, p: int) -> list[int]:
+    """A method ends before the next ``def`` that starts a line; any other statement with its line."""
     s, c = grammar.state[0], grammar.kinds.char
-    if s[p] != c["def"]:
-        i = s.find(NL, p)
-        while i >= 0 and s[i + 1] == NL:
-            i += 1
-        return i + 1 if i >= 0 else -1
-    i = s.find(NL + c["def"], p)
-    return i + 1 if i >= 0 else -1
+    i = s.find(NL if s[p] != c["def"] else NL + c["def"], p)
+    return [i + 1] if i >= 0 else []
 
 
 @cache
@@ -924,7 +920,8 @@ def check_source(text: str | None, language: str) -> tuple[str, int, str] | None
     elif at >= len(kinds.rstrip(NL + DEDENT + ";")):
         cause = "truncated"
     elif kinds[at : at + 1] == BAD:
-        cause = "unknown character"
+        open_end = text[place : place + 1] in ("'", '"', "`", "/") and not text[place:].strip().count("\n")
+        cause = "truncated" if open_end else "unknown character"
     else:
         cause = "unexpected token"
     found = grammar.kinds.name.get(kinds[at], kinds[at]) if at < len(kinds) else "end of text"

@@ -41,7 +41,7 @@ class Grammar:
     ``'x'`` is a token, ``{x y}`` one of several, ``ID NUM STR TPL NL INDENT DEDENT EOF`` are kinds, ``ANYWORD`` a name or keyword.
     ``skip`` lets every token but ``NL`` stand behind line ends. The first rule must accept the whole text."""
 
-    def __init__(self, text: str, kinds: Kinds, skip: bool = False, guess: Callable[[Grammar, int], int] | None = None):
+    def __init__(self, text: str, kinds: Kinds, skip: bool = False, guess: Callable[[Grammar, int], list[int]] | None = None):
         self.kinds, self.skip = kinds, skip
         self.tokens = [m for m in _GRAMMAR.finditer(text)]
         self.at = 0
@@ -243,13 +243,14 @@ class Grammar:
             if p in memo:
                 return rule(p)
             s = state[0]
-            at = self.guess(self, p)
-            if 0 < at - p <= CONTENT_LENGTH and s[p:at] in known:
-                memo[p] = (at, -1)
-                return at
+            ends = self.guess(self, p)
+            for at in ends:
+                if 0 < at - p <= CONTENT_LENGTH and s[p:at] in known:
+                    memo[p] = (at, -1)
+                    return at
             q = rule(p)
             # the rule looked at nothing at or past its end: it holds for this content in any text
-            if q == at and memo[p][1] < q and q - p <= CONTENT_LENGTH:
+            if q in ends and memo[p][1] < q and q - p <= CONTENT_LENGTH:
                 if len(known) >= CONTENT_ENTRIES:
                     known.clear()
                 known[s[p:q]] = 1
@@ -261,25 +262,28 @@ class Grammar:
     _BRACKETS = re.compile(r"[(){}\[\]\x0e\x0f]")
     _STOPS = re.compile(r"[({\[;)\]}\x03]")
 
-    def bracket_guess(self, p: int) -> int:
-        """Where a declaration or statement that starts here likely ends: at its first semicolon or closing brace outside brackets."""
-        s, match = self.state[0], self.match
+    def bracket_guess(self, p: int) -> list[int]:
+        """Where a declaration or statement that starts here may end: behind its first brace outside other brackets, and behind
+        its first semicolon."""
+        s, match, ends = self.state[0], self.match, []
         while True:
             m = self._STOPS.search(s, p)
             if m is None:
-                return -1
+                return ends
             i, c = m.start(), m[0]
             if c == ";":
-                return i + 1
-            if c in "({[":
-                end = match.get(i, -1)
-                if end < 0:
-                    return -1
-                if c == "{":
-                    return end + 1
-                p = end + 1
-            else:
-                return -1
+                ends.append(i + 1)
+                return ends
+            if c not in "({[":
+                return ends
+            end = match.get(i, -1)
+            if end < 0:
+                return ends
+            if c == "{" and not ends:
+                ends.append(end + 1)
+            elif c == "{":
+                return ends
+            p = end + 1
 
     def parse(self, kinds: str) -> tuple[int, set[str]] | None:
         """None if the whole token string is accepted, else the furthest failure: its index and the kinds expected there."""
