@@ -47,8 +47,8 @@ _PATTERNS = {
 _PATTERNS["typescript"] = _PATTERNS["javascript"]
 _SCAN = {k: re.compile(v, re.M) for k, v in _PATTERNS.items()}
 
-#: Marks that stand for a character of a comment or of a string in a masked text.
-COMMENT, STRING = "\x01", "\x02"
+#: Marks that stand for a comment, a literal, and a literal's further lines in a masked text.
+COMMENT, STRING, CONTINUED = "\x01", "\x02", "\x04"
 
 
 def clean(text: str | None) -> str:
@@ -66,6 +66,6 @@ def mask(text: str, language: str) -> str:
     def blank(m: re.Match) -> str:
         mark = COMMENT if m.lastgroup == "c" or m["c"] is not None else STRING
         lines = m[0].count("\n")
-        return mark if not lines else mark + ("\n" + mark) * lines
+        return mark if not lines else mark + ("\n" + (mark if mark == COMMENT else CONTINUED)) * lines
 
     return _SCAN[language].sub(blank, text)
