@@ -12,7 +12,8 @@ HAND = "import os\n\ndef load(path):\n    total = 0\n    for row in open(path):\
 
 def body(seed):
     r = random.Random(seed)
-    return "\n\n".join(f"def {r.choice('abcdef')}{r.randint(0, 10**6)}(rows, limit):\n    kept = [x for x in rows if x > {r.randint(1, 99)}]\n    return sorted(kept)[:limit + {r.randint(1, 99)}]" for _ in range(6)) + "\n"
+    name = lambda: "_".join("".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(2))
+    return "\n\n".join(f"def {name()}({name()}, limit):\n    kept = [x for x in {name()} if x > {r.randint(1, 99)}]\n    return {name()}(kept)[:limit + {r.randint(1, 99)}]" for _ in range(6)) + "\n"
 
 
 def kinds(spark, rows):
@@ -55,6 +56,6 @@ def test_attribute_files(spark):
 
 
 def test_dirty_rows(spark):
-    rows = [(1, None, None, None, None), (2, "r", "x.unknown", "cobol", "MOVE A TO B."), (None, "r", "a.py", "python", GENERATED), (3, "r", "a.py", "python", HAND), (3, "r", "a.py", "python", HAND), (4, "r", "b.py", None, "x = 1\n" * 100_000)]
+    rows = [(1, None, None, None, None), (2, "r", "x.unknown", "cobol", "MOVE A TO B."), (None, "r", "a.py", "python", GENERATED), (3, "r", "a.py", "python", HAND), (3, "r", "a.py", "python", HAND), (4, "r", "b.py", None, "value = 100\n" * 100_000)]
     assert kinds(spark, rows) == {1: "hand-written", 2: "hand-written", 3: "hand-written", 4: "generated"}
     assert kinds(spark, []) == {}
