@@ -71,6 +71,7 @@ def chunks(documents: DataFrame, key: str, text: str, max_tokens: int, overlap:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, n, a, b, t[a:b]) for k, t in zip(pdf[key], pdf[text]) if t for n, (a, b) in enumerate(chunk_text(t, max_tokens, lap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "first", "last", "body"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "chunk", "first", "last", "body"])
 
     return documents.select(key, F.col(text)).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, chunk int, first int, last int, body string")
