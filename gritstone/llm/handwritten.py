@@ -137,7 +137,8 @@ def parse_attributes(path: str, text: str) -> list[tuple[int, int, str, str, boo
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(repo, *rule) for repo, path, source in zip(pdf.repo, pdf.path, pdf.source) for rule in parse_attributes(path, source or "")]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
 
 
 def declared(files: DataFrame) -> DataFrame:

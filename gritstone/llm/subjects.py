@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gritstone.session import checkpointed
 
 #: Share of the documents a term must occur in (and two documents at least), and may occur in at most.
-MIN_SHARE, MAX_SHARE = 0.0005, 0.3
+MIN_SHARE, MAX_SHARE = 0.0005, 0.5
 #: Terms of less concentration on subjects carry no weight.
 MIN_CONCENTRATION = 0.3
 #: Terms that enter the decomposition at most, the most concentrated and frequent first. Its rank is the number of subjects; each
@@ -29,8 +29,8 @@ MIN_CONCENTRATION = 0.3
 SVD_TERMS = 2000
 #: A pair of words is a term where it makes this share of the documents of its rarer word.
 MIN_PAIR_SHARE = 0.35
-#: Weight of terms below which a sentence deals with nothing.
-MIN_WEIGHT = 2.0
+#: Sum of its terms' concentrations below which a sentence deals with nothing.
+MIN_EVIDENCE = 0.6
 #: Cosine to a centroid from which a sentence deals with its subject, and the lead over the next subject that it needs.
 MIN_COSINE, MIN_LEAD = 0.45, 0.08
 #: Rounds of refinement.
@@ -85,7 +85,8 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         if len(held) > 400_000:
             yield pd.DataFrame({"term": list(held), "df": list(held.values())})
             held.clear()
-    yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+    if held:
+        yield pd.DataFrame({"term": list(held), "df": list(held.values())})
 
 
 ENCODED = "doc_id long, language int, terms array<int>, ends array<int>"
@@ -110,10 +111,14 @@ def _encoder(vocabulary):
 
 
 class Model:
-    """Each term's lean to subjects and place in the decomposition, and one centroid per language and subject."""
+    """Each term's concentration, lean to subjects and place in the decomposition, and one centroid per language and subject."""
 
-    def __init__(self, lean: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None):
-        self.lean, self.vectors, self.centroids = lean, vectors, centroids
+    def __init__(self, strength: np.ndarray, lean: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None):
+        self.strength, self.lean, self.vectors, self.centroids = strength, lean, vectors, centroids
+
+    def silent(self, terms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which sentences deal with nothing."""
+        return _sums(self.strength[:, None], terms, ends)[:, 0] < MIN_EVIDENCE
 
     def embed(self, terms: np.ndarray, ends: np.ndarray, language: np.ndarray) -> np.ndarray:
         """One unit vector per sentence, in the space of its language; zero where its terms carry too little weight."""
@@ -122,7 +127,7 @@ class Model:
             rows = language == n
             if rows.any():
                 out[rows] = _sums(self.vectors[n], terms, ends)[rows]
-        out[_sums(self.lean, terms, ends).sum(axis=1) < MIN_WEIGHT] = 0
+        out[self.silent(terms, ends)] = 0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 1e-9)
 
@@ -132,8 +137,8 @@ class Model:
         x = self.embed(terms, ends, language)
         if self.centroids is None:
             lean = _sums(self.lean, terms, ends)
-            total = lean.sum(axis=1, keepdims=True)
-            return np.where(total >= MIN_WEIGHT, lean / np.maximum(total, 1e-9), 0), x
+            lean[self.silent(terms, ends)] = 0
+            return lean / np.maximum(lean.sum(axis=1, keepdims=True), 1e-9), x
         return np.einsum("ik,isk->is", x, self.centroids[language]), x
 
     def assign(self, terms: np.ndarray, ends: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +309,9 @@ def _fit(encoded: DataFrame, labelled: DataFrame, subjects: list[str], idf: np.n
         rate = n[chosen] / np.maximum(n[size], 1)
         lean[chosen] = weight[:, None] * rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
         rank = min(m, count)
-        model = Model(lean, np.zeros((len(LANGUAGES), size, rank)))
+        held = np.zeros(size)
+        held[chosen] = strength[chosen]
+        model = Model(held, lean, np.zeros((len(LANGUAGES), size, rank)))
         balance = 1 / np.maximum(n[size + 1 :], 1)
         pairs = _collected(encoded, "k long, g double", _pairs(share(place), m, share(weight), share(model), balance), ["k"], "g")
         gram = np.zeros(len(LANGUAGES) * m * m)
@@ -313,7 +320,7 @@ def _fit(encoded: DataFrame, labelled: DataFrame, subjects: list[str], idf: np.n
         for k, one in enumerate(gram.reshape(len(LANGUAGES), m, m)):
             values, basis = np.linalg.eigh(one)
             vectors[k, chosen] = weight[:, None] * basis[:, np.argsort(-values)[:rank]]
-        model = Model(lean, vectors)
+        model = Model(held, lean, vectors)
         # the terms' lean seeds the centroids, two passes refine them
         for _ in range(3):
             sums = _collected(encoded, "k int, v double", _centres(share(model), count), ["k"], "v")
@@ -323,7 +330,7 @@ def _fit(encoded: DataFrame, labelled: DataFrame, subjects: list[str], idf: np.n
             norm = np.linalg.norm(total, axis=2, keepdims=True)
             fresh = np.divide(total, norm, out=np.zeros_like(total), where=norm > 1e-9)
             # a subject to which no sentence of a language fell keeps the centroid it had
-            model = Model(lean, vectors, fresh if model.centroids is None else np.where(norm > 1e-9, fresh, model.centroids))
+            model = Model(held, lean, vectors, fresh if model.centroids is None else np.where(norm > 1e-9, fresh, model.centroids))
     return model
 
 
