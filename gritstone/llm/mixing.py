@@ -114,7 +114,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, topics: DataFrame |
         rows = rows.withColumn("topic", F.lit(None).cast("string"))
     rows = checkpointed(rows.withColumn("topic", F.coalesce("topic", F.lit("?"))))
     # cells are as many as sources times languages times topics, whatever the documents
-    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).toPandas().sort_values(["source", "lang", "topic"])
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).toArrow().to_pandas().sort_values(["source", "lang", "topic"])
     if cells.empty:
         return spark.createDataFrame([], columns)
     available = cells.groupby("source").tokens.sum().astype(float).to_dict()

@@ -23,14 +23,14 @@ from gritstone.session import checkpointed
 #: Share of the documents a term must occur in (and two documents at least), and may occur in at most.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.5
 #: Terms of less concentration on subjects carry no weight.
-MIN_CONCENTRATION = 0.3
+MIN_CONCENTRATION = 0.25
 #: Terms that enter the decomposition at most, the most concentrated and frequent first. Its rank is the number of subjects; each
 #: language has its own decomposition, and subjects weigh alike in it, else a rare language or subject would fall below the rank.
-SVD_TERMS = 2000
+SVD_TERMS = 1200
 #: A pair of words is a term where it makes this share of the documents of its rarer word.
 MIN_PAIR_SHARE = 0.35
 #: Sum of its terms' concentrations below which a sentence deals with nothing.
-MIN_EVIDENCE = 0.6
+MIN_EVIDENCE = 0.55
 #: Cosine to a centroid from which a sentence deals with its subject, and the lead over the next subject that it needs.
 MIN_COSINE, MIN_LEAD = 0.45, 0.08
 #: Rounds of refinement.
@@ -285,7 +285,7 @@ def _concentration(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def _collected(df: DataFrame, kinds: str, worker, keys: list[str], value: str) -> pd.DataFrame:
-    return df.mapInPandas(worker, kinds).groupBy(*keys).agg(F.sum(value).alias(value)).toPandas()
+    return df.mapInPandas(worker, kinds).groupBy(*keys).agg(F.sum(value).alias(value)).toArrow().to_pandas()
 
 
 def _fit(encoded: DataFrame, labelled: DataFrame, subjects: list[str], idf: np.ndarray, rounds: int) -> Model:
@@ -385,7 +385,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     total = max(1, texts.count())
     frequencies = texts.select("text").mapInPandas(_document_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     # the share bounds the vocabulary by the terms of an average document over the least share
-    kept = frequencies.where((F.col("df") >= max(2, MIN_SHARE * total)) & (F.col("df") <= max(2, MAX_SHARE * total))).toPandas().sort_values("term")
+    kept = frequencies.where((F.col("df") >= max(2, MIN_SHARE * total)) & (F.col("df") <= max(2, MAX_SHARE * total))).toArrow().to_pandas().sort_values("term")
     df = dict(zip(kept.term, kept.df))
     whole = [" " not in t or df[t] >= MIN_PAIR_SHARE * min(df.get(w, total) for w in t.split(" ")) for t in kept.term]
     kept = kept[np.array(whole, dtype=bool)]
