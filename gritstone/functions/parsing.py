@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What an operator becomes in a mutant; fixed values.
 BOUNDARY = {ast.Lt: "<=", ast.LtE: "<", ast.Gt: ">=", ast.GtE: ">", ast.Eq: "!=", ast.NotEq: "=="}
@@ -176,3 +177,70 @@ def python_mutants(files: DataFrame) -> DataFrame:
     rows = _table(files, mutants_of, MUTANTS)
     w = Window.partitionBy("file_id", "mutant").orderBy(F.length("method").desc(), "method")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+IMPORTS = "file_id long, path string, alias string, module string, name string"
+
+
+def imports_of(file_id: int, path: str, source: str | None) -> list[tuple]:
+    """Rows of ``IMPORTS``: what each alias of a file stands for; relative modules keep their leading dots."""
+    tree = _tree(source)
+    rows = []
+    for n in ast.walk(tree) if tree else ():
+        if isinstance(n, ast.Import):
+            rows += [(file_id, path, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], None) for a in n.names]
+        elif isinstance(n, ast.ImportFrom):
+            module = "." * n.level + (n.module or "")
+            rows += [(file_id, path, a.asname or a.name, module, a.name) for a in n.names if a.name != "*"]
+    return rows
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    return _table(files, imports_of, IMPORTS)
+
+
+def python_candidates(path: str, module: str) -> list[str]:
+    """Files a module may be, the likeliest first: a package or a module, from the root or ``src``, or relative to its importer."""
+    dots = len(module) - len(module.lstrip("."))
+    parts = [p for p in module.lstrip(".").split(".") if p]
+    if dots:
+        base = path.split("/")[:-1]
+        if dots - 1 > len(base):
+            return []
+        roots = [base[: len(base) - (dots - 1)]]
+    else:
+        roots = [[], ["src"], path.split("/")[:-1]]
+    out = []
+    for root in roots:
+        stem = "/".join([*root, *parts])
+        out += [f"{stem}.py", f"{stem}/__init__.py"] if parts else [f"{stem}/__init__.py" if stem else "__init__.py"]
+    return list(dict.fromkeys(out))
+
+
+def script_candidates(path: str, module: str) -> list[str]:
+    """Files a relative module of a script may be: itself, with an extension, or an index; others belong to packages."""
+    if not module.startswith("."):
+        return []
+    parts = path.split("/")[:-1]
+    for p in module.split("/"):
+        if p == "..":
+            if not parts:
+                return []
+            parts = parts[:-1]
+        elif p not in (".", ""):
+            parts = [*parts, p]
+    stem = "/".join(parts)
+    ends = ("js", "ts", "tsx", "jsx", "mjs", "cjs")
+    bare = stem.rsplit(".", 1)[0] if stem.rsplit(".", 1)[-1] in ("js", "mjs", "cjs") else stem
+    return list(dict.fromkeys([stem, *(f"{stem}.{e}" for e in ends), *(f"{bare}.{e}" for e in ("ts", "tsx")), *(f"{stem}/index.{e}" for e in ends)]))
+
+
+def module_candidates(language: str):
+    """A column function of an importer's path and a module that gives its candidate files."""
+    pick = {"python": python_candidates, "javascript": script_candidates, "typescript": script_candidates}[language]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def candidates(path: pd.Series, module: pd.Series) -> pd.Series:
+        return pd.Series([pick(p, m) if p and m else [] for p, m in zip(path, module)])
+
+    return candidates
