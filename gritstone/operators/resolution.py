@@ -28,7 +28,8 @@ def resolve_calls(methods: DataFrame, calls: DataFrame, imports: DataFrame) -> D
     """
     parts = F.split("name", r"\.")
     scope = F.split(F.split("caller", "::")[1], r"\.")
-    rows = calls.withColumn("call", F.monotonically_increasing_id()).withColumn("parts", parts).withColumn("scope", scope)
+    # equal calls of one line are one; their values name them in every branch, where a generated number could differ
+    rows = calls.select("caller", "path", "name", "line").distinct().withColumn("call", F.struct("caller", "name", "line")).withColumn("parts", parts).withColumn("scope", scope)
     # every name a call could have in its own file, the likeliest first
     own_class = F.when(F.col("parts")[0].isin("self", "cls") & (F.size("parts") == 2) & (F.size("scope") > 1), F.array(F.concat_ws(".", F.slice("scope", 1, F.size("scope") - 1), F.col("parts")[1])))
     around = F.transform(F.sequence(F.size("scope"), F.lit(0), F.lit(-1)), lambda d: F.concat_ws(".", F.slice(F.col("scope"), 1, d), F.col("name")))

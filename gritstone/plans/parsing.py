@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions import parsing
+from gritstone.operators import resolution
 from gritstone.session import table
 
 
@@ -25,5 +26,15 @@ def python_mutants(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.python_mutants(_files(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (python_methods, python_calls, python_mutants)}
+def python_call_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every call of a Python file with the method it means, if the repository has it."""
+    files = _files(spark, sf)
+    paths = files.select("file_id", "path")
+    methods = parsing.python_methods(files).join(paths, "file_id").select("id", "path", "qualified_name")
+    calls = parsing.python_calls(files).join(paths, "file_id").select("caller", "path", "name", "line")
+    imports = resolution.resolve_imports(parsing.python_imports(files), paths, parsing.module_candidates("python"))
+    return resolution.resolve_calls(methods, calls, imports)
+
+
+QUERIES = {f.__name__: f for f in (python_methods, python_calls, python_mutants, python_call_targets)}
 SQL: dict[str, str] = {}
