@@ -36,9 +36,11 @@ LINE_LENGTH = 110
 #: Share of code in unbroken literals and lists of numbers; data at or above.
 LITERAL_SHARE = 0.5
 #: Share of a file's code that stands in paragraphs of vendored files; a copy at or above.
-COPIED_SHARE = 0.8
+COPIED_SHARE = 0.5
 #: Characters a paragraph needs to be told from others.
 PARAGRAPH = 60
+#: Share of a paragraph's files that must be marked for it to be learnt; what many others hold too is common to all code.
+LEARNT_SHARE = 0.1
 
 # Marks, fixed values: what public generators and vendoring tools write.
 GENERATED = re.compile(
@@ -168,7 +170,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     traits = checkpointed(traits.join(declared(rows), ["repo", "path"], "left"))
     vendored = F.coalesce("declared_vendored", "vendored")
     parts = traits.select("file_id", vendored.alias("vendored"), F.explode(F.arrays_zip("paragraphs", "sizes")).alias("x")).select("file_id", "vendored", F.col("x.paragraphs").alias("paragraph"), F.col("x.sizes").alias("size"))
-    learnt = parts.where("vendored").select("paragraph").distinct()
+    learnt = parts.groupBy("paragraph").agg(F.count_if("vendored").alias("marked"), F.count(F.lit(1)).alias("n")).where((F.col("marked") > 0) & (F.col("marked") >= LEARNT_SHARE * F.col("n"))).select("paragraph")
     copied = parts.join(learnt.withColumn("known", F.lit(True)), "paragraph", "left").groupBy("file_id").agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("known"), F.col("size")).otherwise(0)).alias("known_size"))
     copied = copied.where(F.col("known_size") >= COPIED_SHARE * F.col("all_size")).select("file_id", F.lit(True).alias("copied"))
     latest = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc_nulls_last("received_at"), "repo", "path"))

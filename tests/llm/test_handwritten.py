@@ -47,6 +47,14 @@ def test_unmarked_copies_and_hand_copies(spark):
     assert kinds(spark, rows) == {1: "vendored", 2: "vendored", 3: "hand-written", 4: "hand-written", 5: "hand-written"}
 
 
+def test_common_paragraphs_make_no_copy(spark):
+    common = "def shared_helper_of_everyone(value):\n    return [value for _ in range(value) if value]\n"
+    mark = "# This copy of foo (1.2) is maintained by the foo project.\n"
+    rows = [(0, "r", "x.py", "python", mark + common + "\n" + body(3))] + [(i, "r", f"y{i}.py", "python", common + "\n" + body(10 + i)) for i in range(1, 12)] + [(20, "r", "z.py", "python", common)]
+    got = kinds(spark, rows)
+    assert got.pop(0) == "vendored" and set(got.values()) == {"hand-written"}
+
+
 def test_attribute_files(spark):
     rows = [
         (90, "r", ".gitattributes", None, "gen/** linguist-generated\n*.lock linguist-vendored=true # x\nlib/*.py linguist-vendored\n"), (91, "r", "gen/keep/.gitattributes", None, "*.py -linguist-generated\n/b.py linguist-generated=true\n"),
