@@ -48,12 +48,21 @@ def score_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return C.directory_rollup(sizes, "path", "size")
 
 
-def worst_status(spark: SparkSession, sf: str) -> DataFrame:
+def _worst(spark: SparkSession, sf: str, condition: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "skipped").otherwise("passed")
-    rows = table(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", status.alias("status"))
+    rows = table(spark, sf, "lineitem").where(condition).select("l_orderkey", status.alias("status"))
     return C.worst_status(rows, "l_orderkey", "status").join(C.worst_status(rows, "l_orderkey", "status", C.CASE_ORDER).withColumnRenamed("worst", "case_worst"), "l_orderkey")
 
 
+def worst_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the first two lines of each order, as its SQL has it; ``worst_status_whole`` takes all."""
+    return _worst(spark, sf, "l_linenumber <= 2")
+
+
+def worst_status_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _worst(spark, sf, "true")
+
+
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     declared = table(spark, sf, "source_analysis").select("repo", "path", F.explode("declarations").alias("d"))
     key = F.concat_ws(":", "repo", "path")
@@ -81,7 +90,7 @@ _K = "k AS (SELECT l_suppkey AS test, l_partkey AS mutant, max((l_returnflag = '
 _SPANS = """spans AS (SELECT DISTINCT repo || ':' || path AS file, repo || ':' || path || '::' || d.id AS unit, d.line AS line, d.end_line AS end_line FROM (SELECT repo, path, unnest(declarations) AS d FROM source_analysis)),
 changed AS (SELECT DISTINCT repo || ':' || path AS file, line AS point FROM findings WHERE line IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL)"""
 
-QUERIES = {f.__name__: f for f in (kill_matrix, checks_nothing, redundant_tests, survivors, mutation_score, score_rollup, worst_status, branch_units, innermost_owner, mutant_keys)}
+QUERIES = {f.__name__: f for f in (kill_matrix, checks_nothing, redundant_tests, survivors, mutation_score, score_rollup, worst_status, worst_status_whole, branch_units, innermost_owner, mutant_keys)}
 SQL = {
     "kill_matrix": f"WITH {_K} SELECT test, count(*) AS mutants, sum(failed)::BIGINT AS kills FROM k GROUP BY 1",
     "checks_nothing": "WITH k AS (SELECT l_partkey AS test, l_suppkey AS mutant, max((l_returnflag = 'R')::INT) AS failed FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 8 GROUP BY 1, 2) SELECT test, count(*) AS mutants, sum(failed)::BIGINT AS kills FROM k GROUP BY 1 HAVING count(*) >= 2 AND sum(failed) = 0",
@@ -95,6 +104,8 @@ SQL = {
     "score_rollup": "WITH f AS (SELECT file_id, string_split(min(path), '/') AS x, max(size) AS size FROM source_analysis GROUP BY 1) SELECT directory, count(*) AS files, sum(size)::BIGINT AS size FROM (SELECT array_to_string(x[:k], '/') AS directory, size FROM (SELECT x, size, unnest(range(0, len(x))) AS k FROM f)) GROUP BY 1",
     "worst_status": """WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'passed' END AS status FROM lineitem WHERE l_linenumber <= 2)
       SELECT l_orderkey, ['skipped','passed','failed','error'][max(list_position(['skipped','passed','failed','error'], status))] AS worst, ['passed','skipped','failed','error'][max(list_position(['passed','skipped','failed','error'], status))] AS case_worst FROM s GROUP BY 1""",
+    "worst_status_whole": """WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'passed' END AS status FROM lineitem)
+      SELECT l_orderkey, ['skipped','passed','failed','error'][max(list_position(['skipped','passed','failed','error'], status))] AS worst, ['passed','skipped','failed','error'][max(list_position(['passed','skipped','failed','error'], status))] AS case_worst FROM s GROUP BY 1""",
     "branch_units": f"WITH {_SPANS} SELECT DISTINCT unit FROM spans s WHERE EXISTS (SELECT 1 FROM changed c WHERE c.file = s.file AND c.point BETWEEN s.line AND s.end_line)",
     "innermost_owner": f"WITH {_SPANS} SELECT c.file, c.point, arg_min(unit, (end_line - line, unit)) AS owner FROM changed c JOIN spans s ON c.file = s.file AND c.point BETWEEN s.line AND s.end_line GROUP BY 1, 2",
     "mutant_keys": "SELECT DISTINCT l_partkey, l_linenumber || ':' || l_partkey || ':boundary:' || left(sha1(l_returnflag || '>' || l_linestatus), 8) AS mutant FROM lineitem",
