@@ -32,23 +32,42 @@ def top_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return G.top_neighbours(_edges(spark, sf), scores)
 
 
-def _starts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("start"))
+def _starts(spark: SparkSession, sf: str, condition: str = "p_partkey <= 5") -> DataFrame:
+    return table(spark, sf, "part").where(condition).select(F.col("p_partkey").alias("start"))
+
+
+def _cut(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").where("p_size % 4 = 1").select(F.col("p_partkey").alias("node"))
+
+
+def _dispatched(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    written = G.reach(edges.where("site % 2 = 1"), starts, depth).select("start", "node")
+    return G.reach(edges, starts, depth).select("start", "node").join(written, ["start", "node"], "left_anti")
 
 
 def reach_depth3(spark: SparkSession, sf: str) -> DataFrame:
+    """From five parts, as its SQL has it; ``reach_depth3_whole`` starts from all, and so do the other two named so."""
     return G.reach(_edges(spark, sf), _starts(spark, sf), 3)
 
 
 def reach_with_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    cut = table(spark, sf, "part").where("p_size % 4 = 1").select(F.col("p_partkey").alias("node"))
-    return G.reach(_edges(spark, sf), _starts(spark, sf), 3, cut)
+    return G.reach(_edges(spark, sf), _starts(spark, sf), 3, _cut(spark, sf))
 
 
 def dispatch_only(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _edges(spark, sf)
-    written = G.reach(edges.where("site % 2 = 1"), _starts(spark, sf), 2).select("start", "node")
-    return G.reach(edges, _starts(spark, sf), 2).select("start", "node").join(written, ["start", "node"], "left_anti")
+    return _dispatched(_edges(spark, sf), _starts(spark, sf), 2)
+
+
+def reach_depth3_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return G.reach(_edges(spark, sf), _starts(spark, sf, "true"), 3)
+
+
+def reach_with_cuts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return G.reach(_edges(spark, sf), _starts(spark, sf, "true"), 3, _cut(spark, sf))
+
+
+def dispatch_only_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _dispatched(_edges(spark, sf), _starts(spark, sf, "true"), 3)
 
 
 def external_calls(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +103,7 @@ def _reach(depth: int, edges: str = "edges", name: str = "reach", extra: str = "
     ) + f", {name} AS (SELECT start, node, depth FROM {name}{depth} WHERE depth > 0)"
 
 
-QUERIES = {f.__name__: f for f in (call_edges, degree, top_neighbours, reach_depth3, reach_with_cuts, dispatch_only, external_calls, region_closure, nearest_context)}
+QUERIES = {f.__name__: f for f in (call_edges, degree, top_neighbours, reach_depth3, reach_with_cuts, dispatch_only, reach_depth3_whole, reach_with_cuts_whole, dispatch_only_whole, external_calls, region_closure, nearest_context)}
 SQL = {
     "call_edges": f"WITH {_E} SELECT source, target, site, calls FROM edges",
     "degree": f"WITH {_E} SELECT node, sum(o)::BIGINT AS callees, sum(i)::BIGINT AS callers FROM (SELECT source AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target, 0, 1 FROM edges) GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from gritstone.plans import catalog
 
 
@@ -10,3 +12,33 @@ def test_worst_status_of_late_lines(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: (r.worst, r.case_worst) for r in catalog.queries()["worst_status_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: ("failed", "failed"), 2: ("passed", "skipped"), 3: ("skipped", "skipped")}
+
+
+def test_reach_from_all_parts(spark, tmp_path):
+    r = random.Random(7)
+    parts = [(i, r.randint(1, 50)) for i in range(1, 41)]
+    lines = [(o, n, r.randint(1, 40)) for o in range(1, 21) for n in range(1, 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    site = {}
+    for (o, n, a), (p, _, b) in zip(lines, lines[1:]):
+        if o == p and a != b:
+            site[a, b] = min(o, site.get((a, b), o))
+
+    def reach(edges, shut=frozenset()):
+        out = {}
+        for start in {k for k, _ in parts} - shut:
+            at = {start: 0}
+            for depth in (1, 2, 3):
+                for a, b in edges:
+                    if at.get(a) == depth - 1 and b not in at and not {a, b} & shut:
+                        at[b] = depth
+            out |= {(start, node): depth for node, depth in at.items() if depth}
+        return out
+
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    depths = lambda name: sorted((x.start, x.node, x.depth) for x in run(name))
+    flat = lambda found: sorted((*k, d) for k, d in found.items())
+    whole, written = reach(site), reach([e for e, first in site.items() if first % 2])
+    assert depths("reach_depth3_whole") == flat(whole) and depths("reach_with_cuts_whole") == flat(reach(site, frozenset(k for k, size in parts if size % 4 == 1)))
+    assert sorted((x.start, x.node) for x in run("dispatch_only_whole")) == sorted(set(whole) - set(written))
