@@ -39,7 +39,8 @@ LITERAL_SHARE = 0.5
 COPIED_SHARE = 0.5
 #: Characters a paragraph needs to be told from others.
 PARAGRAPH = 60
-#: Share of a paragraph's files that must be marked for it to be learnt; what many others hold too is common to all code.
+#: Share of the different texts with a paragraph that must be marked for it to be learnt; what many others hold too is common to
+#: all code. Equal texts count once, so that unmarked copies of a file don't outvote its mark.
 LEARNT_SHARE = 0.1
 
 # Marks, fixed values: what public generators and vendoring tools write.
@@ -58,11 +59,16 @@ _SPACE = re.compile(r"\s+")
 _UNBROKEN = re.compile(r"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:(?:-?0x[0-9a-fA-F]+|-?[0-9][0-9.]*)\s*,\s*){8,}")
 _PARAGRAPHS = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 
-TRAITS = "file_id long, repo string, path string, received_at timestamp, generated boolean, minified boolean, data boolean, vendored boolean, paragraphs array<long>, sizes array<int>"
+TRAITS = "file_id long, repo string, path string, received_at timestamp, digest long, generated boolean, minified boolean, data boolean, vendored boolean, paragraphs array<long>, sizes array<int>"
 
 
 def file_traits(source: str, language: str | None) -> tuple[bool, bool, bool, bool, list[int], list[int]]:
     """``(generated, minified, data, vendored, paragraph hashes, their sizes)`` of one text; hashes name code without comments."""
+    return _text_traits(source, language)[1:]
+
+
+def _text_traits(source: str, language: str | None) -> tuple[int, bool, bool, bool, bool, list[int], list[int]]:
+    """A digest of one text's code, and its ``file_traits``."""
     text = lexing.clean(source)
     comments: list[str] = []
     limit = len("\n".join(text.split("\n", MARK_LINES)[:MARK_LINES])) if text else 0
@@ -103,14 +109,15 @@ def file_traits(source: str, language: str | None) -> tuple[bool, bool, bool, bo
         if len(part) >= PARAGRAPH:
             hashes.append(xxhash.xxh3_64_intdigest(part) - 2**63)
             sizes.append(len(part))
-    return generated or (repeated and not data), minified, data, vendored, hashes, sizes
+    digest = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", code).strip()) - 2**63
+    return digest, generated or (repeated and not data), minified, data, vendored, hashes, sizes
 
 
 def _traits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in TRAITS.split(", ")]
     for pdf in batches:
         rows = [
-            (file_id, repo, path, at, *file_traits(source or "", lexing.language_of(language, path)))
+            (file_id, repo, path, at, *_text_traits(source or "", lexing.language_of(language, path)))
             for file_id, repo, path, language, source, at in zip(pdf.file_id, pdf.repo, pdf.path, pdf.language, pdf.source, pdf.received_at)
         ]
         yield pd.DataFrame(rows, columns=names)
@@ -169,12 +176,13 @@ def classify_files(files: DataFrame) -> DataFrame:
     # flags and paragraph hashes are small beside the texts; written once, they spare every later branch the lexing
     traits = checkpointed(traits.join(declared(rows), ["repo", "path"], "left"))
     vendored = F.coalesce("declared_vendored", "vendored")
-    parts = traits.select("file_id", vendored.alias("vendored"), F.explode(F.arrays_zip("paragraphs", "sizes")).alias("x")).select("file_id", "vendored", F.col("x.paragraphs").alias("paragraph"), F.col("x.sizes").alias("size"))
-    learnt = parts.groupBy("paragraph").agg(F.count_if("vendored").alias("marked"), F.count(F.lit(1)).alias("n")).where((F.col("marked") > 0) & (F.col("marked") >= LEARNT_SHARE * F.col("n"))).select("paragraph")
+    parts = traits.select("file_id", "digest", vendored.alias("vendored"), F.explode(F.arrays_zip("paragraphs", "sizes")).alias("x")).select("file_id", "digest", "vendored", F.col("x.paragraphs").alias("paragraph"), F.col("x.sizes").alias("size"))
+    texts = parts.groupBy("paragraph", "digest").agg(F.coalesce(F.bool_or("vendored"), F.lit(False)).alias("vendored"))
+    learnt = texts.groupBy("paragraph").agg(F.count_if("vendored").alias("marked"), F.count(F.lit(1)).alias("n")).where((F.col("marked") > 0) & (F.col("marked") >= LEARNT_SHARE * F.col("n"))).select("paragraph")
     copied = parts.join(learnt.withColumn("known", F.lit(True)), "paragraph", "left").groupBy("file_id").agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("known"), F.col("size")).otherwise(0)).alias("known_size"))
     copied = copied.where(F.col("known_size") >= COPIED_SHARE * F.col("all_size")).select("file_id", F.lit(True).alias("copied"))
     latest = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc_nulls_last("received_at"), "repo", "path"))
-    own = traits.drop("paragraphs", "sizes").withColumn("n", latest).where("n = 1")
+    own = traits.drop("digest", "paragraphs", "sizes").withColumn("n", latest).where("n = 1")
     copy = F.coalesce("declared_vendored", F.col("vendored") | F.coalesce("copied", F.lit(False)))
     kind = (
         F.when(F.coalesce("declared_generated", "generated"), "generated").when(F.col("minified"), "minified").when(F.col("data"), "data").when(copy, "vendored").otherwise("hand-written")

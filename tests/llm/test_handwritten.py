@@ -67,3 +67,9 @@ def test_dirty_rows(spark):
     rows = [(1, None, None, None, None), (2, "r", "x.unknown", "cobol", "MOVE A TO B."), (None, "r", "a.py", "python", GENERATED), (3, "r", "a.py", "python", HAND), (3, "r", "a.py", "python", HAND), (4, "r", "b.py", None, "value = 100\n" * 100_000)]
     assert kinds(spark, rows) == {1: "hand-written", 2: "hand-written", 3: "hand-written", 4: "generated"}
     assert kinds(spark, []) == {}
+
+
+def test_many_unmarked_copies_of_one_file(spark):
+    lib = body(21)
+    rows = [(0, "r", "x/foo.py", "python", "# This copy of foo (1.2) is maintained by the foo project.\n" + lib)] + [(i, f"r{i}", "foo.py", "python", lib) for i in range(1, 31)] + [(40, "r", "own.py", "python", body(22))]
+    assert kinds(spark, rows) == {i: "vendored" for i in range(31)} | {40: "hand-written"}
