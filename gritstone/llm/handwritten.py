@@ -4,7 +4,7 @@ Three kinds of evidence, in this order:
 
 * declared: git attribute files among the rows mark paths as generated or vendored; the deepest file decides, in it the last
   line that sets the attribute, both ways;
-* written in the file: marks that tools and copies carry in comments of the first lines, the repetition of numbered lines
+* written in the file: marks that tools and copies carry in comments, the repetition of numbered lines
   that only a program writes, lines as long as a minifier leaves them, literals that make up most of the text;
 * mined: the paragraphs of code of every file declared or marked as vendored, in any repository, are learnt; a file most of
   whose code stands in them is a copy too, marked or not, wherever it lies.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import globs, lexing
 from gritstone.session import checkpointed
 
-#: Lines in whose comments a mark counts.
+#: Lines in whose comments a mark counts wherever it stands; below them it must open a line of a comment that stands by itself.
 MARK_LINES = 40
 #: Share of the text of code lines that is left when lines equal but for their numbers count once; generated at or below.
 DISTINCT_SHARE = 0.4
@@ -54,6 +54,12 @@ VENDORED = re.compile(
     re.I | re.M,
 )
 
+#: A mark that opens a line, perhaps after the word it speaks of; a bare tag is none, as it states nothing.
+_OPENS = r"^[\W_]*(?:(?:warning|note|attention|notice)\W+)?(?:(?:this|the) (?:file|code|source)\W+(?:(?:is|was|has been) )?)?(?!@generated\b)"
+STATED_GENERATED = re.compile(f"{_OPENS}(?:{GENERATED.pattern})", re.I | re.M)
+#: A line that reads as a comment in a language that is not known.
+_COMMENT_LIKE = re.compile(r"^[ \t]*(?:[^\w\s]|(?:rem|dnl)\b).*", re.I | re.M)
+
 _NUMBER = re.compile(r"0x[0-9a-fA-F]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _UNBROKEN = re.compile(r"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:(?:-?0x[0-9a-fA-F]+|-?[0-9][0-9.]*)\s*,\s*){8,}")
@@ -71,9 +77,12 @@ def _text_traits(source: str, language: str | None) -> tuple[int, bool, bool, bo
     """A digest of one text's code, and its ``file_traits``."""
     text = lexing.clean(source)
     comments: list[str] = []
+    later: list[str] = []
     limit = len("\n".join(text.split("\n", MARK_LINES)[:MARK_LINES])) if text else 0
     if language is None:
         code, bare = text, text
+        comments += (m[0] for m in _COMMENT_LIKE.finditer(text, 0, limit))
+        later.append(text)
     else:
 
         def drop(m: re.Match) -> str:
@@ -81,12 +90,15 @@ def _text_traits(source: str, language: str | None) -> tuple[int, bool, bool, bo
                 return m[0]
             if m.start() < limit:
                 comments.append(m[0])
+            elif text[m.start() - 1] == "\n":
+                later.append(m[0])
             return "\n" * m[0].count("\n")
 
         code = lexing._SCAN[language].sub(drop, text)
         bare = None
-    marks = "\n".join(comments)
-    generated, vendored = bool(GENERATED.search(marks)), bool(VENDORED.search(marks))
+    marks, stated = "\n".join(comments), "\n".join(later)
+    generated = bool(GENERATED.search(marks) or STATED_GENERATED.search(stated))
+    vendored = bool(VENDORED.search(marks) or VENDORED.search(stated))
 
     lines = [s for s in (_SPACE.sub(" ", line).strip() for line in code.split("\n")) if len(s) >= 10]
     size = sum(map(len, lines))

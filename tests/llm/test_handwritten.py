@@ -73,3 +73,21 @@ def test_many_unmarked_copies_of_one_file(spark):
     lib = body(21)
     rows = [(0, "r", "x/foo.py", "python", "# This copy of foo (1.2) is maintained by the foo project.\n" + lib)] + [(i, f"r{i}", "foo.py", "python", lib) for i in range(1, 31)] + [(40, "r", "own.py", "python", body(22))]
     assert kinds(spark, rows) == {i: "vendored" for i in range(31)} | {40: "hand-written"}
+
+
+LICENCE = "# Permission is granted to use and change this text.\n" * 60
+LONG = "".join(map(body, range(30, 34)))
+
+
+@pytest.mark.parametrize(
+    ("language", "source", "generated", "vendored"),
+    [
+        ("python", LICENCE + "# Code generated by x. DO NOT EDIT.\n" + HAND, True, False), ("python", LONG + "# This file was generated by x.\n", True, False), ("c", "/*\n" + " * Permission is granted.\n" * 60 + " * Automatically generated by x.\n */\nint a;\n", True, False),
+        ("python", LICENCE + "# This copy of foo (1.2) is maintained by the foo project.\n" + HAND, False, True), ("python", LONG + "# Reads tokens generated by the lexer.\n", False, False), ("python", LONG + "    x = 1  # generated by the caller\n", False, False),
+        ("python", LONG + "X = '''\n# Code generated by x. DO NOT EDIT.\n'''\n", False, False), (None, "      * Code generated by x. DO NOT EDIT.\n       MOVE A TO B.\n", True, False), (None, LONG + "      * Code generated by x. DO NOT EDIT.\n", True, False),
+        (None, "; foo 1.2 - (c) The foo authors, released under the X licence\n", False, True), (None, "DISPLAY 'Code generated by x'.\n", False, False),
+    ],
+)
+def test_marks_anywhere(language, source, generated, vendored):
+    g, _, _, v, _, _ = H.file_traits(source, language)
+    assert (g, v) == (generated, vendored)
