@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,13 +60,14 @@ def _python_levels(lines: list[str], wanted: set[int]) -> tuple[list[int], list[
 
 
 _STRIP_QUOTES = re.compile(r"""^[rRuU]?("{3}|'{3}|"|')([\s\S]*?)\1?$""")
+_BRACKET = re.compile(r"[(){}\[\]]")
+_INDENT = re.compile(r"\s*")
 _PY_STRING = re.compile(r"""[rRuU]?(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
 
 
-def _docstring(raw: list[str], start: int) -> str | None:
-    """The docstring that begins on this line, or None."""
-    text = "\n".join(raw[start : start + 400]).lstrip()
-    m = _PY_STRING.match(text)
+def _docstring(text: str, at: int) -> str | None:
+    """The docstring that begins on the line that starts at ``at``, or None."""
+    m = _PY_STRING.match(text, _INDENT.match(text, at).end())
     if not m:
         return None
     return _STRIP_QUOTES.sub(r"\2", m[0])
@@ -96,10 +98,10 @@ def _one_liners(lines: list[str], wanted: set[int], head: list[int] | None, delt
     return ends
 
 
-def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int] | None = None) -> list[tuple]:
+def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int] | None = None, heads: dict[int, str] | None = None) -> list[tuple]:
     """Rows ``(first, last, kind, text, delta)`` of one source. Kinds: ``comment`` (one per line), ``decorator``, ``doc`` (first
     is the line of the statement it documents), ``code`` (only where the nesting changes). ``ends`` is filled with the ends of
-    declarations that open no nesting."""
+    declarations that open no nesting, ``heads`` with their signatures."""
     text = lexing.clean(source)
     raw = text.split("\n")
     lines = lexing.mask(text, language).split("\n")
@@ -109,8 +111,11 @@ def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int]
     python = language == "python"
     if python:
         head, delta = _python_levels(lines, wanted)
+        starts = list(accumulate((len(x) + 1 for x in raw), initial=0))
     if ends is not None:
         ends.update(_one_liners(lines, wanted, head if python else None, delta if python else None))
+    if heads is not None:
+        heads.update((line, _signature(raw, lines, line - 1, wanted)) for line in wanted if 0 < line <= len(lines))
     seeking = 0
     for i, line in enumerate(lines):
         bare = line.strip()
@@ -130,7 +135,7 @@ def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int]
         if python:
             if seeking and head[i] != head[seeking - 1]:
                 if bare[0] in "\x02rRuU" and bare.lstrip("rRuU")[:1] == "\x02":
-                    doc = _docstring(raw, i)
+                    doc = _docstring(text, starts[i])
                     if doc is not None:
                         rows.append((seeking, seeking, "doc", doc, 0))
                 seeking = 0
@@ -149,14 +154,26 @@ def _known(number) -> bool:
     return number is not None and number == number
 
 
-def _signature(lines: list[str], at: int) -> str:
-    """The signature that starts on this line: to the end of the line on which its parentheses close."""
+def _signature(raw: list[str], lines: list[str], at: int, wanted: set[int]) -> str:
+    """The signature that starts on this line: to the end of the line on which its parentheses close, without the body. What is
+    open is told from the masked lines; where nothing closes, the next declaration ends it."""
     taken, depth = [], 0
-    for line in lines[at : at + 40]:
-        taken.append(line.split("{", 1)[0])
-        flat = line.translate(_OPEN)
-        depth += flat.count("(") - flat.count(")")
-        if depth <= 0 or "{" in line:
+    for i in range(at, len(raw)):
+        if i > at and i + 1 in wanted:
+            break
+        body, braces = None, 0
+        for c in _BRACKET.findall(lines[i]):
+            if c == "{":
+                if depth <= 0:
+                    body = braces
+                    break
+                braces += 1
+            depth += 1 if c in "([{" else -1
+        if body is not None:
+            taken.append("{".join(raw[i].split("{")[: body + 1]))
+            break
+        taken.append(raw[i])
+        if depth <= 0:
             break
     return " ".join(taken)
 
@@ -173,17 +190,16 @@ def _lexer(nesting: bool):
                     continue
                 wanted = {int(d["line"]) for d in declarations if _known(d["line"])}
                 ends: dict[int, int] | None = {} if nesting else None
-                for first, last, kind, text, delta in lex_rows(source, name, wanted, ends):
+                heads: dict[int, str] = {}
+                for first, last, kind, text, delta in lex_rows(source, name, wanted, ends, heads):
                     if nesting or kind != "code":
                         out.append((file_id, at, first, last, kind, text, delta, None, None, None, None, None))
-                signature = lexing.clean(source).split("\n")
                 for d in declarations:
-                    if d["id"] is None or not _known(d["line"]) or not 0 < d["line"] <= len(signature):
+                    if d["id"] is None or not _known(d["line"]) or int(d["line"]) not in heads:
                         continue
                     line = int(d["line"])
                     end = int(d["end_line"]) if _known(d["end_line"]) else (ends or {}).get(line)
-                    head = _signature(signature, line - 1)
-                    out.append((file_id, at, line, line, "decl", None, 0, d["id"], d["name"], head, end, d["qualified_name"]))
+                    out.append((file_id, at, line, line, "decl", None, 0, d["id"], d["name"], heads[line], end, d["qualified_name"]))
             rows = pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
             rows["end_line"] = rows["end_line"].astype("Int32")
             yield rows

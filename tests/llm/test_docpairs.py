@@ -114,3 +114,23 @@ def test_long_comment_and_many_functions(spark):
     source = "# " + "word and number\n# " * 3000 + "end of it\n" + "\n".join(f"def f{i}():\n    '''Keeps row number {i} of late tables.'''\n" for i in range(500))
     _, docs = run(spark, [(1, "a.py", "py", source, decls(source, *(f"f{i}" for i in range(500))), None, "")], False)
     assert docs.count() == 500
+
+
+def test_docstring_of_many_lines(spark):
+    source = 'def one(a):\n    """Keeps every late row.\n' + "    More about late rows.\n" * 900 + '    """\n    return a\n'
+    df, docs = run(spark, [(1, "a.py", "py", source, decls(source, "one"), None, "")])
+    assert [r.decl_id for r in docs.collect()] == ["function:1"]
+    assert docpairs.code_doc_pairs(df).first().documentation.count("\n") == 900
+
+
+@pytest.mark.parametrize(
+    ("source", "language", "wanted", "head"),
+    [
+        ("def one(\n" + "".join(f"    p{i},\n" for i in range(90)) + "    last_one,\n):\n    pass\n", "python", {1}, "last_one"), ("def one(a={},\n        last_one=1):\n    pass\n", "python", {1}, "last_one"),
+        ("function one({a, b}, last_one) {\n  return body;\n}\n", "javascript", {1}, "last_one"), ('def one(a="(",\n        b=1):\n    last_one\n', "python", {1}, None), ("long one(\n  long a\n\nlong two(long last_one) {}\n", "java", {1, 4}, None),
+    ],
+)
+def test_signature_to_its_end(source, language, wanted, head):
+    heads = {}
+    docpairs.lex_rows(source, language, wanted, None, heads)
+    assert ("last_one" in heads[1]) is (head is not None) and "body" not in heads[1]
