@@ -88,7 +88,7 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_batches(spark: SparkSession, sf: str) -> DataFrame:
-    questions = table(spark, sf, "findings").where("repo IS NOT NULL AND finding_id IS NOT NULL").groupBy("repo", "type").agg(F.count(F.lit(1)).alias("tokens")).withColumn("tokens", F.least(F.col("tokens"), F.lit(5000))).withColumn("state", F.lit(500))
+    questions = table(spark, sf, "findings").where("repo IS NOT NULL AND finding_id IS NOT NULL").groupBy("repo", "type").agg(F.count(F.lit(1)).alias("tokens")).withColumn("state", F.lit(500))
     return packing.question_batches(questions, "repo", "type", "tokens", "state", 6000, 8)
 
 

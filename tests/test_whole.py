@@ -42,3 +42,9 @@ def test_reach_from_all_parts(spark, tmp_path):
     whole, written = reach(site), reach([e for e, first in site.items() if first % 2])
     assert depths("reach_depth3_whole") == flat(whole) and depths("reach_with_cuts_whole") == flat(reach(site, frozenset(k for k, size in parts if size % 4 == 1)))
     assert sorted((x.start, x.node) for x in run("dispatch_only_whole")) == sorted(set(whole) - set(written))
+
+
+def test_question_that_never_fits(spark, tmp_path):
+    rows = spark.range(9000).selectExpr("cast(id as string) AS finding_id", "'r' AS repo", "CASE WHEN id < 5469 THEN 'b' WHEN id < 5470 THEN 'a' ELSE 'c' END AS type")
+    rows.write.parquet(f"{tmp_path}/findings.parquet")
+    assert {r.type: r.batch for r in catalog.queries()["question_batches"](spark, str(tmp_path)).collect()} == {"a": 0, "b": -1, "c": 0}
