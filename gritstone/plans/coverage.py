@@ -28,6 +28,17 @@ def redundant_tests(spark: SparkSession, sf: str) -> DataFrame:
     return C.redundant_tests(kills, tests)
 
 
+def checks_nothing_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders play the tests, so that whole tables have some that check nothing."""
+    return C.checks_nothing(_kills(spark, sf, "true", "l_orderkey", "l_partkey"))
+
+
+def redundant_tests_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders play the tests, customers the files, line numbers the mutants."""
+    tests = table(spark, sf, "orders").select(F.col("o_orderkey").alias("test"), F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"))
+    return C.redundant_tests(_kills(spark, sf, "true", "l_orderkey", "l_linenumber"), tests)
+
+
 def survivors(spark: SparkSession, sf: str) -> DataFrame:
     kills = _kills(spark, sf).groupBy("test", "mutant").agg(F.max("failed").alias("failed"))
     return C.survivors(kills)
@@ -90,13 +101,17 @@ _K = "k AS (SELECT l_suppkey AS test, l_partkey AS mutant, max((l_returnflag = '
 _SPANS = """spans AS (SELECT DISTINCT repo || ':' || path AS file, repo || ':' || path || '::' || d.id AS unit, d.line AS line, d.end_line AS end_line FROM (SELECT repo, path, unnest(declarations) AS d FROM source_analysis)),
 changed AS (SELECT DISTINCT repo || ':' || path AS file, line AS point FROM findings WHERE line IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL)"""
 
-QUERIES = {f.__name__: f for f in (kill_matrix, checks_nothing, redundant_tests, survivors, mutation_score, score_rollup, worst_status, worst_status_whole, branch_units, innermost_owner, mutant_keys)}
+QUERIES = {f.__name__: f for f in (kill_matrix, checks_nothing, redundant_tests, checks_nothing_whole, redundant_tests_whole, survivors, mutation_score, score_rollup, worst_status, worst_status_whole, branch_units, innermost_owner, mutant_keys)}
 SQL = {
     "kill_matrix": f"WITH {_K} SELECT test, count(*) AS mutants, sum(failed)::BIGINT AS kills FROM k GROUP BY 1",
     "checks_nothing": "WITH k AS (SELECT l_partkey AS test, l_suppkey AS mutant, max((l_returnflag = 'R')::INT) AS failed FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 8 GROUP BY 1, 2) SELECT test, count(*) AS mutants, sum(failed)::BIGINT AS kills FROM k GROUP BY 1 HAVING count(*) >= 2 AND sum(failed) = 0",
     "redundant_tests": """WITH k AS (SELECT l_partkey AS test, l_suppkey % 4 AS mutant, max((l_returnflag = 'R')::INT) AS failed FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
       v AS (SELECT test, string_agg(mutant || ':' || failed, ',' ORDER BY mutant) AS vec FROM k GROUP BY 1 HAVING count(*) >= 3 AND sum(failed) > 0),
       f AS (SELECT test, first_value(test) OVER (PARTITION BY test % 25, vec ORDER BY test) AS redundant_with FROM v) SELECT test, redundant_with FROM f WHERE test <> redundant_with""",
+    "checks_nothing_whole": "WITH k AS (SELECT l_orderkey AS test, l_partkey AS mutant, max((l_returnflag = 'R')::INT) AS failed FROM lineitem GROUP BY 1, 2) SELECT test, count(*) AS mutants, sum(failed)::BIGINT AS kills FROM k GROUP BY 1 HAVING count(*) >= 2 AND sum(failed) = 0",
+    "redundant_tests_whole": """WITH k AS (SELECT l_orderkey AS test, l_linenumber AS mutant, max((l_returnflag = 'R')::INT) AS failed FROM lineitem GROUP BY 1, 2),
+      v AS (SELECT test, string_agg(mutant || ':' || failed, ',' ORDER BY mutant) AS vec FROM k GROUP BY 1 HAVING count(*) >= 3 AND sum(failed) > 0),
+      f AS (SELECT test, first_value(test) OVER (PARTITION BY o_custkey, vec ORDER BY test) AS redundant_with FROM v JOIN orders ON o_orderkey = test) SELECT test, redundant_with FROM f WHERE test <> redundant_with""",
     "survivors": f"WITH {_K} SELECT mutant, count(*) AS runs FROM k GROUP BY 1 HAVING sum(failed) = 0",
     "mutation_score": """WITH s AS (SELECT p_brand, CASE WHEN l_quantity < 3 THEN 'equivalent' WHEN l_quantity < 5 THEN 'invalid' WHEN l_quantity < 8 THEN 'no_coverage' WHEN l_returnflag = 'R' THEN 'killed' ELSE 'survived' END AS status FROM lineitem JOIN part ON p_partkey = l_partkey),
       t AS (SELECT p_brand, count(*) FILTER (status NOT IN ('equivalent', 'invalid')) AS mutants, count(*) FILTER (status = 'killed') AS killed, count(*) FILTER (status = 'no_coverage') AS no_coverage FROM s GROUP BY 1)

@@ -48,3 +48,11 @@ def test_question_that_never_fits(spark, tmp_path):
     rows = spark.range(9000).selectExpr("cast(id as string) AS finding_id", "'r' AS repo", "CASE WHEN id < 5469 THEN 'b' WHEN id < 5470 THEN 'a' ELSE 'c' END AS type")
     rows.write.parquet(f"{tmp_path}/findings.parquet")
     assert {r.type: r.batch for r in catalog.queries()["question_batches"](spark, str(tmp_path)).collect()} == {"a": 0, "b": -1, "c": 0}
+
+
+def test_tests_over_all_lines(spark, tmp_path):
+    lines = [(1, 1, 11, "N"), (1, 2, 12, "A"), (2, 1, 11, "N"), (3, 4, 11, "R"), (3, 5, 12, "N"), (3, 6, 13, "N"), (4, 4, 14, "R"), (4, 5, 15, "A"), (4, 6, 16, "N"), (5, 4, 17, "R"), (5, 5, 18, "N"), (5, 6, 19, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+    assert run("checks_nothing_whole") == [(1, 2, 0)] and run("redundant_tests_whole") == [(4, 3)]
