@@ -4,41 +4,50 @@ that are refined iteratively.
 The unit that is embedded is the sentence, since a document deals with a subject only where more than one sentence does.
 Terms are words and pairs of adjacent words, weighted by inverse document frequency and by how much they concentrate on few
 subjects. Seeds are the hand labels; rounds of assigning sentences and recomputing term weights, decomposition and centroids
-from all documents replace the seeds' noise. What reaches the driver is bounded by the vocabulary, never by the documents.
+from all documents replace the seeds' noise.
+
+Texts are read once. They are taken apart in columns, thousands at a time, and written as blocks: packed arrays of documents,
+their different sentences and the sentences' terms. Every later pass runs over those blocks with array operations and emits
+sums per term or subject. The decomposition is randomised: each pass multiplies the document-term matrix and its transpose with
+a thin matrix, so a task emits a row per term it saw, and what reaches the driver is terms times rank, never documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.session import checkpointed
 
-#: Share of the documents a term must occur in (and two documents at least), and may occur in at most.
+#: Share of the documents a term must occur in (and two documents at least), and may occur in at most. It is a share, so that
+#: the same terms count at every size, and it bounds the vocabulary by the terms of an average document over the least share.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.5
 #: Terms of less concentration on subjects carry no weight.
 MIN_CONCENTRATION = 0.25
-#: Terms that enter the decomposition at most, the most concentrated and frequent first. Its rank is the number of subjects; each
-#: language has its own decomposition, and subjects weigh alike in it, else a rare language or subject would fall below the rank.
-SVD_TERMS = 1200
 #: A pair of words is a term where it makes this share of the documents of its rarer word.
 MIN_PAIR_SHARE = 0.35
 #: Sum of its terms' concentrations below which a sentence deals with nothing.
 MIN_EVIDENCE = 0.55
 #: Cosine to a centroid from which a sentence deals with its subject, and the lead over the next subject that it needs.
 MIN_COSINE, MIN_LEAD = 0.45, 0.08
-#: Rounds of refinement.
-ROUNDS = 2
+#: Rounds of refinement, passes over the documents per decomposition, and columns of the thin matrix beyond the rank. The rank is
+#: the number of subjects; each language has its own decomposition, and subjects weigh alike in it, else a rare language or
+#: subject would fall below the rank.
+ROUNDS, PASSES, OVERSAMPLE = 2, 2, 10
+#: Labels the model is fitted on at most, taken by a hash of their document; all documents count in everything else.
+MAX_LABELS = 200_000
+#: Bytes of text that are taken apart at once.
+SLICE_BYTES = 16_000_000
 
-_SENTENCE = re.compile(r"\n+|(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[>*-]*[^\W_])")
-_WORD = re.compile(r"[^\W\d_]+")
-_CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-Z])")
 # Function words that tell the language of a text; fixed values.
 _TELLTALE = {
     "de": frozenset("der die das und ist nicht ein eine mit von zu den dem des für auf wird sich wenn nach aus bei als auch".split()),
@@ -48,107 +57,257 @@ _TELLTALE = {
 LANGUAGES = tuple(_TELLTALE)
 _FUNCTION = frozenset(w for words in _TELLTALE.values() for w in words)
 
+_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SENTENCE_END = rf"""([.!?]["')\]]*)[{_SPACES}]+(["'(\[>*-]*[\p{{L}}\p{{N}}])"""
+
 
 def _fold(word: str) -> str:
     """A word without case and plural ending."""
     return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
 
+def _take(ends: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists given by their ``ends`` in ``values``, those numbered ``rows``, in that order: values, and each value's place in
+    ``rows``."""
+    starts = np.r_[0, ends[:-1]][rows] if len(ends) else np.zeros(0, dtype=np.int64)
+    sizes = ends[rows] - starts if len(ends) else starts
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    first = np.cumsum(sizes) - sizes
+    return values[np.arange(len(owner)) - first[owner] + starts[owner]], owner
+
+
+@dataclass
+class Texts:
+    """Texts taken apart: the language of each, the different sentences of each, and the terms of every different sentence. A
+    sentence that texts of two languages hold is two sentences."""
+
+    language: np.ndarray
+    #: per text the end of its sentences in ``sentences``, which number the different ones
+    text_ends: np.ndarray
+    sentences: np.ndarray
+    sentence_language: np.ndarray
+    term_ends: np.ndarray
+    #: numbers of terms, each once in a sentence
+    terms: np.ndarray
+    #: words, folded, and per term its first and second word, or -1
+    words: list[str]
+    first: np.ndarray
+    second: np.ndarray
+
+
+def take_apart(texts: pa.Array) -> Texts:
+    count = len(texts)
+    flat = pc.replace_substring_regex(texts.fill_null(""), pattern=_SENTENCE_END, replacement="\\1\n\\2")
+    flat = pc.replace_substring_regex(flat, pattern=r"([a-zà-ÿ])([A-Z])", replacement=r"\1 \2")
+    flat = pc.replace_substring_regex(pc.utf8_lower(flat), pattern=r"[^\p{L}\n]+", replacement=" ")
+    lists = pc.split_pattern(flat, "\n")
+    owner = np.repeat(np.arange(count), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = pc.utf8_trim(lists.flatten(), " ").dictionary_encode()
+    code, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    told = (pc.binary_length(strings).to_numpy() > 0)[code] if len(code) else np.zeros(0, dtype=bool)
+    # a sentence counts once in a text
+    key = pd.unique(owner[told] * max(1, len(strings)) + code[told])
+    owner, code = key // max(1, len(strings)), key % max(1, len(strings))
+
+    split = pc.split_pattern(strings, " ")
+    word_ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)).astype(np.int64)
+    spoken = split.flatten().dictionary_encode()
+    raw, spoken = spoken.dictionary.to_pylist(), spoken.indices.to_numpy().astype(np.int64)
+    tell = np.array([[w in known for known in _TELLTALE.values()] for w in raw], dtype=np.int64).reshape(-1, len(LANGUAGES))
+    seen = np.cumsum(np.vstack([np.zeros((1, len(LANGUAGES)), dtype=np.int64), tell[spoken]]), axis=0)
+    told = seen[word_ends] - seen[np.r_[0, word_ends[:-1]]] if len(word_ends) else seen[:0]
+    votes = np.stack([np.bincount(owner, weights=told[code, n], minlength=count) for n in range(len(LANGUAGES))], axis=1)
+    language = np.where(votes.any(axis=1), votes.argmax(axis=1), LANGUAGES.index("en"))
+
+    number, words = pd.factorize(np.array([_fold(w) for w in raw], dtype=object))
+    words = list(words)
+    size = len(words)
+    spoken = number[spoken]
+    wide = np.array([len(w) > 2 for w in words], dtype=bool)
+    plain = wide & np.array([w not in _FUNCTION for w in words], dtype=bool)
+    within = np.repeat(np.arange(len(word_ends)), np.diff(np.r_[0, word_ends]))
+    single = np.flatnonzero(wide[spoken])
+    paired = np.flatnonzero(plain[spoken[:-1]] & plain[spoken[1:]] & (within[:-1] == within[1:])) if len(spoken) else single
+    key = np.r_[spoken[single] * (size + 1) + size, spoken[paired] * (size + 1) + spoken[paired + 1]]
+    at = np.r_[within[single], within[paired]]
+    order = np.argsort(at, kind="stable")
+    term, kinds = pd.factorize(key[order])
+    once = pd.unique(at[order] * max(1, len(kinds)) + term)
+    at, term = once // max(1, len(kinds)), once % max(1, len(kinds))
+    ends = np.cumsum(np.bincount(at, minlength=len(word_ends)))
+
+    # sentences by language
+    sentence, rows = pd.factorize(code * len(LANGUAGES) + language[owner])
+    terms, of = _take(ends, term, rows // len(LANGUAGES))
+    return Texts(
+        language, np.cumsum(np.bincount(owner, minlength=count)), sentence, rows % len(LANGUAGES), np.cumsum(np.bincount(of, minlength=len(rows))), terms,
+        words, kinds // (size + 1), np.where(kinds % (size + 1) == size, -1, kinds % (size + 1)),
+    )
+
+
 def sentences_of(text: str | None) -> tuple[str, list[list[str]]]:
     """The language of a text and the terms of each of its different sentences."""
-    seen: dict[str, list[str]] = {}
-    tell = Counter()
-    for raw in _SENTENCE.split(text or ""):
-        words = [w for w in _WORD.findall(_CAMEL.sub(" ", raw).lower())]
-        if not words:
-            continue
-        key = " ".join(words)
-        if key in seen:
-            continue
-        for w in words:
-            for language, known in _TELLTALE.items():
-                if w in known:
-                    tell[language] += 1
-        folded = [_fold(w) for w in words]
-        terms = [w for w in folded if len(w) > 2]
-        terms += [f"{a} {b}" for a, b in zip(folded, folded[1:]) if len(a) > 2 and len(b) > 2 and a not in _FUNCTION and b not in _FUNCTION]
-        seen[key] = terms
-    language = max(LANGUAGES, key=lambda k: tell[k]) if tell else "en"
-    return language, list(seen.values())
-
-
-def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter = Counter()
+    t = take_apart(pa.array([text], pa.string()))
+    named = [t.words[a] if b < 0 else f"{t.words[a]} {t.words[b]}" for a, b in zip(t.first, t.second)]
+    starts = np.r_[0, t.term_ends[:-1]]
+    return LANGUAGES[t.language[0]], [[named[k] for k in t.terms[starts[s] : t.term_ends[s]]] for s in t.sentences]
+
+
+# --- blocks: what one row of the encoded documents holds, each column a packed array
+RAW = {
+    "ids": np.int64, "digests": np.int64, "language": np.int8, "label_rows": np.int32, "labels": np.int32, "text_ends": np.int32, "sentences": np.int32, "sentence_language": np.int8,
+    "term_ends": np.int32, "terms": np.int32, "hashes": np.int64, "first": np.int64, "second": np.int64, "frequency": np.int32,
+}
+KEPT = {k: RAW[k] for k in ("ids", "digests", "language", "label_rows", "labels", "text_ends", "sentences", "sentence_language", "term_ends", "terms")}
+_SCHEMA = lambda kinds: ", ".join(f"{k} binary" for k in kinds)
+
+
+def _pack(values: np.ndarray, kind) -> bytes:
+    raw = np.ascontiguousarray(values, dtype=kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), dtype=kind)
+
+
+class Block:
+    """The documents of one row, with ``documents``, ``owner`` (the document of each of its sentences), and ``within`` (the sentence
+    of each term)."""
+
+    def __init__(self, packed: dict[str, bytes], kinds: dict = KEPT):
+        for name, kind in kinds.items():
+            a = _unpack(packed[name], kind)
+            setattr(self, name, a if a.dtype in (np.int64, np.int8) else a.astype(np.int64))
+        self.language, self.sentence_language = self.language.astype(np.int64), self.sentence_language.astype(np.int64)
+        self.documents, self.count = len(self.ids), len(self.term_ends)
+        self.owner = np.repeat(np.arange(self.documents), np.diff(np.r_[0, self.text_ends]))
+        self.within = np.repeat(np.arange(self.count), np.diff(np.r_[0, self.term_ends]))
+
+
+def _blocks(batches: Iterator[pd.DataFrame], kinds: dict = KEPT) -> Iterator[Block]:
     for pdf in batches:
-        for text in pdf.text:
-            held.update({t for s in sentences_of(text)[1] for t in s})
-        if len(held) > 400_000:
-            yield pd.DataFrame({"term": list(held), "df": list(held.values())})
-            held.clear()
-    if held:
-        yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+        for row in pdf.to_dict("records"):
+            yield Block(row, kinds)
+
+
+def _hashed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit name of every term and of its words; a single word is its own first word and has no second."""
+    of = np.array([xxhash.xxh3_64_intdigest(w) for w in t.words] or [0], dtype=np.uint64)
+    a, b = of[t.first] if len(t.words) else of[:0], np.where(t.second < 0, 0, of[t.second] if len(t.words) else 0).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        both = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(3)) ^ (b << np.uint64(31))
+    return np.where(t.second < 0, a, both).view(np.int64), a.view(np.int64), b.view(np.int64)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``SLICE_BYTES`` of text at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _encoder(labels):
+    """Texts to blocks. ``labels`` has the labelled documents' ids in order, the ends of each one's subjects, and these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_ends, known_subjects = labels.value
+        for whole in batches:
+            for batch in _slices(whole):
+                texts = batch.column("text").cast(pa.string())
+                t = take_apart(texts)
+                hashes, first, second = _hashed(t)
+                met, of = _take(t.term_ends, t.terms, t.sentences)
+                doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, t.text_ends]))[of]
+                frequency = np.bincount(pd.unique(doc * max(1, len(hashes)) + met) % max(1, len(hashes)), minlength=len(hashes))[: len(hashes)]
+                ids = batch.column("doc_id").to_numpy()
+                place = np.searchsorted(known, ids)
+                place[place == len(known)] = 0
+                hit = np.flatnonzero(known[place] == ids) if len(known) else place[:0]
+                subjects, of = _take(known_ends, known_subjects, place[hit])
+                digests = np.array([xxhash.xxh3_64_intdigest(x.as_buffer() or b"") for x in texts.fill_null("")], dtype=np.uint64).view(np.int64)
+                held = {
+                    "ids": ids, "digests": digests, "language": t.language, "label_rows": hit[of], "labels": subjects, "text_ends": t.text_ends, "sentences": t.sentences,
+                    "sentence_language": t.sentence_language, "term_ends": t.term_ends, "terms": t.terms, "hashes": hashes, "first": first, "second": second, "frequency": frequency,
+                }
+                yield pa.RecordBatch.from_pydict({k: pa.array([_pack(held[k], kind)], pa.binary()) for k, kind in RAW.items()})
 
+    return run
 
-ENCODED = "doc_id long, language int, terms array<int>, ends array<int>"
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["hash", "first", "second"]
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        for row in pdf.to_dict("records"):
+            one = pd.DataFrame({n: _unpack(row[c], np.int64) for n, c in zip(names, ("hashes", "first", "second"))} | {"df": _unpack(row["frequency"], np.int32).astype(np.int64)})
+            held.append(one)
+            size += len(one)
+            if size > 1_000_000:
+                held = [pd.concat(held).groupby(names, as_index=False, sort=False).df.sum()]
+                size = 0
+    if held:
+        yield pd.concat(held).groupby(names, as_index=False, sort=False).df.sum()
 
 
-def _encoder(vocabulary):
+def _recoder(vocabulary):
+    """Blocks over the terms that are kept, numbered by their place in ``vocabulary``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = vocabulary.value
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                language, sentences = sentences_of(text)
-                flat: list[int] = []
-                ends: list[int] = []
-                for s in sentences:
-                    flat += sorted({ids[t] for t in s if t in ids})
-                    ends.append(len(flat))
-                rows.append((doc_id, LANGUAGES.index(language), flat, ends))
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "terms", "ends"])
+        kept = vocabulary.value
+        for b in _blocks(batches, RAW):
+            place = np.minimum(np.searchsorted(kept, b.hashes), max(0, len(kept) - 1))
+            number = np.where(kept[place] == b.hashes, place, -1) if len(kept) else np.full(len(b.hashes), -1)
+            terms = number[b.terms] if len(b.terms) else b.terms
+            b.term_ends = np.cumsum(np.bincount(b.within[terms >= 0], minlength=b.count))
+            b.terms = terms[terms >= 0]
+            yield pd.DataFrame({k: [_pack(getattr(b, k), kind)] for k, kind in KEPT.items()})
 
     return run
 
 
 class Model:
-    """Each term's concentration, lean to subjects and place in the decomposition, and one centroid per language and subject."""
-
-    def __init__(self, strength: np.ndarray, lean: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None):
-        self.strength, self.lean, self.vectors, self.centroids = strength, lean, vectors, centroids
-
-    def silent(self, terms: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which sentences deal with nothing."""
-        return _sums(self.strength[:, None], terms, ends)[:, 0] < MIN_EVIDENCE
-
-    def embed(self, terms: np.ndarray, ends: np.ndarray, language: np.ndarray) -> np.ndarray:
-        """One unit vector per sentence, in the space of its language; zero where its terms carry too little weight."""
-        out = np.zeros((len(ends), self.vectors.shape[2]))
-        for n in range(len(LANGUAGES)):
-            rows = language == n
-            if rows.any():
-                out[rows] = _sums(self.vectors[n], terms, ends)[rows]
-        out[self.silent(terms, ends)] = 0
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norm, out=out, where=norm > 1e-9)
-
-    def score(self, terms: np.ndarray, ends: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of sentences to the subjects' centroids of their language, and their embeddings. While there are no
-        centroids, the share of the terms' lean stands for the cosine."""
-        x = self.embed(terms, ends, language)
+    """Each weighted term's concentration, lean to subjects and place in the decomposition, and one centroid per language and
+    subject. ``place`` numbers the weighted terms of the vocabulary; others are -1."""
+
+    def __init__(self, place: np.ndarray, strength: np.ndarray, lean: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None):
+        self.place, self.strength, self.lean, self.vectors, self.centroids = place, strength, lean, vectors, centroids
+
+    def weighted(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted terms' places, and the sentence of each."""
+        p = self.place[b.terms] if len(b.terms) else b.terms
+        return p[p >= 0], b.within[p >= 0]
+
+    def score(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the block's different sentences to the subjects' centroids of their language, and their embeddings: unit
+        vectors in the space of the language, zero where terms carry too little weight. While there are no centroids, the share
+        of the terms' lean stands for the cosine."""
+        p, of = self.weighted(b)
+        silent = np.bincount(of, weights=self.strength[p], minlength=b.count) < MIN_EVIDENCE
+        told = ~silent[of] if len(of) else np.zeros(0, dtype=bool)
+        p, of = p[told], of[told]
+        languages, size, rank = self.vectors.shape
+        x = _sums(self.vectors.reshape(languages * size, rank), b.sentence_language[of] * size + p, of, b.count)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        np.divide(x, norm, out=x, where=norm > 1e-9)
         if self.centroids is None:
-            lean = _sums(self.lean, terms, ends)
-            lean[self.silent(terms, ends)] = 0
+            lean = _sums(self.lean, p, of, b.count)
             return lean / np.maximum(lean.sum(axis=1, keepdims=True), 1e-9), x
-        return np.einsum("ik,isk->is", x, self.centroids[language]), x
-
-    def assign(self, terms: np.ndarray, ends: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per sentence the number of its subject, or -1, and its embedding."""
-        score, x = self.score(terms, ends, language)
-        return decide(score), x
+        out = np.zeros((b.count, self.centroids.shape[1]))
+        for n in range(languages):
+            rows = b.sentence_language == n
+            out[rows] = x[rows] @ self.centroids[n].T
+        return out, x
 
 
 def decide(score: np.ndarray) -> np.ndarray:
     """The best column of each row, or -1 below the least cosine or without the least lead."""
+    if not len(score):
+        return np.zeros(0, dtype=np.int64)
     best = score.argmax(axis=1)
     top = score[np.arange(len(score)), best]
     second = np.partition(score, -2, axis=1)[:, -2] if score.shape[1] > 1 else np.zeros(len(score))
@@ -156,125 +315,121 @@ def decide(score: np.ndarray) -> np.ndarray:
     return best
 
 
-def _sums(rows: np.ndarray, terms: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per sentence the sum of its terms' rows."""
-    starts = np.r_[0, ends[:-1]]
-    out = np.zeros((len(ends), rows.shape[1]))
-    full = np.flatnonzero(ends > starts)
-    if len(full):
-        out[full] = np.add.reduceat(rows[terms], starts[full], axis=0)
+def _sums(rows: np.ndarray, picked: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the ``picked`` rows by the number ``of`` each, which ascends."""
+    out = np.zeros((count, rows.shape[1]))
+    if len(of):
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        out[of[starts]] = np.add.reduceat(rows[picked], starts, axis=0)
     return out
 
 
-def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, ends of sentences, and each sentence's document (by row) and language, of a batch."""
-    terms = [np.asarray(t, dtype=np.int64) for t in pdf.terms]
-    ends = [np.asarray(e, dtype=np.int64) for e in pdf.ends]
-    base = np.cumsum([0, *(len(t) for t in terms)])
-    doc = np.repeat(np.arange(len(pdf)), [len(e) for e in ends])
-    flat_terms = np.concatenate(terms) if terms else np.array([], dtype=np.int64)
-    flat_ends = np.concatenate([e + b for e, b in zip(ends, base)]) if ends else np.array([], dtype=np.int64)
-    return flat_terms, flat_ends, doc, pdf.language.to_numpy()[doc] if len(doc) else np.array([], dtype=np.int64)
-
-
-def _votes(model: Model, terms: np.ndarray, ends: np.ndarray, doc: np.ndarray, language: np.ndarray, documents: int) -> np.ndarray:
+def _votes(model: Model, b: Block) -> np.ndarray:
     """Each document's shares in the subjects that two of its sentences or more deal with."""
-    best, _ = model.assign(terms, ends, language)
-    counts = np.zeros((documents, model.lean.shape[1]))
-    np.add.at(counts, (doc[best >= 0], best[best >= 0]), 1)
+    best = decide(model.score(b)[0])[b.sentences]
+    subjects = model.lean.shape[1]
+    counts = np.bincount((b.owner * subjects + best)[best >= 0], minlength=b.documents * subjects).reshape(b.documents, subjects).astype(float)
     counts[counts < 2] = 0
     return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
-def _counts(size: int, subjects: int, model):
-    """Sentences per (term, subject) of their documents: by the documents' ``labels`` where there is no model, else by votes. A
+def _counts(size: int, subjects: int, model) -> Callable:
+    """Sentences per term and subject of their documents: by the documents' labels where there is no model, else by votes. A
     sentence that any document may hold thus spreads over all subjects. The term numbered ``size`` holds all sentences, those
     above it the documents per language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size + 1 + len(LANGUAGES), subjects))
-        for pdf in batches:
-            terms, ends, doc, language = _flat(pdf)
-            if not len(ends):
-                continue
-            sentence = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        for b in _blocks(batches):
             if model is None:
-                part = np.zeros((len(pdf), subjects))
-                for i, labels in enumerate(pdf.labels):
-                    part[i, list(labels)] = 1 / len(labels)
+                part = np.zeros((b.documents, subjects))
+                part[b.label_rows, b.labels] = 1
+                part /= np.maximum(part.sum(axis=1, keepdims=True), 1)
             else:
-                part = _votes(model.value, terms, ends, doc, language, len(pdf))
+                part = _votes(model.value, b)
             for s in range(subjects):
-                total[:size, s] += np.bincount(terms, weights=part[doc[sentence], s], minlength=size)
-            total[size] += part[doc].sum(axis=0)
-            np.add.at(total, size + 1 + pdf.language.to_numpy(), part)
-        t, s = np.nonzero(total)
-        yield pd.DataFrame({"t": t, "s": s, "n": total[t, s]})
+                have = np.bincount(b.sentences, weights=part[b.owner, s], minlength=b.count)
+                # a subject is that of few sentences
+                met = have[b.within] > 0 if len(b.within) else np.zeros(0, dtype=bool)
+                total[:size, s] += np.bincount(b.terms[met], weights=have[b.within[met]], minlength=size)[:size]
+                total[size, s] += have.sum()
+                total[size + 1 :, s] += np.bincount(b.language, weights=part[:, s], minlength=len(LANGUAGES))
+        yield _rows(total, "t")
 
     return run
 
 
-def _pairs(place, size: int, weight, model, balance: np.ndarray):
-    """The Gram matrix of the weighted document-term matrix over the chosen terms, one per language, as sparse sums. Documents
-    have unit length times ``balance`` of their language and subjects, so that a rare subject has as large a place as any."""
+def _gram(model, start, weight, balance: np.ndarray) -> Callable:
+    """The weighted document-term matrix of each language, transposed, times itself, times ``start``. Documents have unit length
+    times ``balance`` of their language and subjects, so that a rare subject has as large a place as any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = np.zeros(len(LANGUAGES) * size * size)
-        at, w = place.value, weight.value
-        for pdf in batches:
-            terms, ends, doc, _ = _flat(pdf)
-            base = pdf.language.to_numpy(dtype=np.int64) * size * size
-            p = at[terms] if len(terms) else terms
-            owner = np.repeat(doc, np.diff(np.r_[0, ends])) if len(ends) else terms
-            cell, tf = np.unique((owner * size + p)[p >= 0], return_counts=True)
-            if not len(cell):
+        thin, w = start.value, weight.value
+        languages, size, rank = thin.shape
+        thin, total = thin.reshape(languages * size, rank), np.zeros((languages * size, rank))
+        for b in _blocks(batches):
+            p, of = model.value.weighted(b)
+            met, sentence = _take(np.cumsum(np.bincount(of, minlength=b.count)), p, b.sentences)
+            key, tf = np.unique(b.owner[sentence] * size + met, return_counts=True)
+            if not len(key):
                 continue
-            owner, p = cell // size, cell % size
+            owner, p = key // size, key % size
             x = w[p] * (1 + np.log(tf))
-            part = _votes(model.value, terms, ends, doc, pdf.language.to_numpy()[doc], len(pdf))
-            worth = np.sqrt((part * balance[pdf.language.to_numpy()]).sum(axis=1))
-            x = x / np.sqrt(np.bincount(owner, weights=x * x))[owner] * worth[owner]
-            count = np.bincount(owner)
-            first = np.cumsum(count) - count
-            # every ordered pair of terms of one document, a stretch of documents at a time
-            per = count[owner]
-            for lo, hi in _stretches(per):
-                left = np.repeat(np.arange(lo, hi), per[lo:hi])
-                right = np.arange(len(left)) - np.repeat(np.cumsum(per[lo:hi]) - per[lo:hi], per[lo:hi]) + np.repeat(first[owner[lo:hi]], per[lo:hi])
-                gram += np.bincount(base[owner[left]] + p[left] * size + p[right], weights=x[left] * x[right], minlength=len(gram))
-        k = np.flatnonzero(gram)
-        yield pd.DataFrame({"k": k, "g": gram[k]})
+            worth = np.sqrt((_votes(model.value, b) * balance[b.language]).sum(axis=1))
+            length = np.sqrt(np.bincount(owner, weights=x * x, minlength=b.documents))
+            x *= worth[owner] / length[owner]
+            told = x > 0
+            owner, p, x = owner[told], p[told], x[told]
+            if not len(x):
+                continue
+            row = b.language[owner] * size + p
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            seen = np.zeros((b.documents, rank))
+            seen[owner[starts]] = np.add.reduceat(thin[row] * x[:, None], starts, axis=0)
+            order = np.argsort(row, kind="stable")
+            row, x, owner = row[order], x[order], owner[order]
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            total[row[starts]] += np.add.reduceat(seen[owner] * x[:, None], starts, axis=0)
+        yield _rows(total, "t")
 
     return run
 
 
-def _stretches(per: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges whose sums of ``per`` stay near ``most``."""
-    ends = np.cumsum(per)
-    lo = 0
-    while lo < len(per):
-        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)) + 1
-        yield lo, min(hi, len(per))
-        lo = hi
-
-
-def _centres(model, subjects: int):
+def _centres(model) -> Callable:
     """Sums of the embeddings of the sentences assigned to each subject, per language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(LANGUAGES), subjects, model.value.vectors.shape[2]))
-        for pdf in batches:
-            terms, ends, _, language = _flat(pdf)
-            if not len(ends):
-                continue
-            best, x = model.value.assign(terms, ends, language)
+        languages, _, rank = model.value.vectors.shape
+        subjects = model.value.lean.shape[1]
+        total = np.zeros((languages * subjects, rank))
+        for b in _blocks(batches):
+            score, x = model.value.score(b)
+            best = decide(score)
             known = best >= 0
-            np.add.at(total, (language[known], best[known]), x[known])
-        yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
+            place = b.sentence_language[known] * subjects + best[known]
+            times = np.bincount(b.sentences, minlength=b.count)[known]
+            for k in range(rank):
+                total[:, k] += np.bincount(place, weights=x[known, k] * times, minlength=len(total))
+        yield _rows(total, "t")
 
     return run
 
 
+def _rows(total: np.ndarray, key: str) -> pd.DataFrame:
+    """The rows of a matrix that are not all zero, one column per column."""
+    t = np.flatnonzero(total.any(axis=1))
+    return pd.DataFrame({key: t} | {f"v{k}": total[t, k] for k in range(total.shape[1])})
+
+
+def _summed(blocks: DataFrame, worker: Callable, rows: int, width: int) -> np.ndarray:
+    """The sum of the matrices that the tasks give."""
+    columns = [f"v{k}" for k in range(width)]
+    found = blocks.mapInPandas(worker, "t long, " + ", ".join(f"{c} double" for c in columns)).groupBy("t").agg(*(F.sum(c).alias(c) for c in columns)).toArrow().to_pandas()
+    out = np.zeros((rows, width))
+    out[found.t.to_numpy(dtype=np.int64)] = found[columns].to_numpy(dtype=float)
+    return out
+
+
 def _concentration(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """From 0, spread over all subjects as their texts are, to 1, in one alone; low counts are held back."""
     rate = n / np.maximum(totals, 1)
@@ -284,53 +439,53 @@ def _concentration(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return (1 - entropy / np.log(max(2, n.shape[1]))) * size / (size + 6)
 
 
-def _collected(df: DataFrame, kinds: str, worker, keys: list[str], value: str) -> pd.DataFrame:
-    return df.mapInPandas(worker, kinds).groupBy(*keys).agg(F.sum(value).alias(value)).toArrow().to_pandas()
+def _range(blocks: DataFrame, model: Model, weight: np.ndarray, balance: np.ndarray, rank: int) -> np.ndarray:
+    """Per language an orthonormal basis of the strongest ``rank`` directions, by subspace iteration from the terms' lean to
+    subjects and random columns (Halko, Martinsson, Tropp, "Finding structure with randomness")."""
+    share = blocks.sparkSession.sparkContext.broadcast
+    size, subjects = model.lean.shape
+    width = min(size, subjects + OVERSAMPLE)
+    start = np.hstack([model.lean, np.random.default_rng(7).normal(size=(size, OVERSAMPLE))])[:, :width]
+    basis = np.stack([np.linalg.qr(start)[0]] * len(LANGUAGES))
+    held, heavy = share(model), share(weight)
+    for n in range(PASSES):
+        seen = _summed(blocks, _gram(held, share(basis), heavy, balance), len(LANGUAGES) * size, width).reshape(len(LANGUAGES), size, width)
+        if n + 1 < PASSES:
+            basis = np.stack([np.linalg.qr(one)[0] for one in seen])
+    out = np.zeros((len(LANGUAGES), size, rank))
+    for k in range(len(LANGUAGES)):
+        small = basis[k].T @ seen[k]
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        out[k] = np.linalg.qr(seen[k] @ turn[:, np.argsort(-values)[:rank]])[0]
+    return out
 
 
-def _fit(encoded: DataFrame, labelled: DataFrame, subjects: list[str], idf: np.ndarray, rounds: int) -> Model:
-    spark, size, count = encoded.sparkSession, len(idf), len(subjects)
-    share = lambda x: spark.sparkContext.broadcast(x)
+def _fit(blocks: DataFrame, subjects: list[str], idf: np.ndarray, rounds: int) -> Model | None:
+    size, count = len(idf), len(subjects)
+    share = blocks.sparkSession.sparkContext.broadcast
     model = None
     for _ in range(rounds):
-        counted = _counts(size, count, None if model is None else share(model))
-        found = _collected(labelled if model is None else encoded, "t int, s int, n double", counted, ["t", "s"], "n")
-        n = np.zeros((size + 1 + len(LANGUAGES), count))
-        n[found.t, found.s] = found.n
+        n = _summed(blocks, _counts(size, count, None if model is None else share(model)), size + 1 + len(LANGUAGES), count)
         strength = _concentration(n[:size], n[size])
         chosen = np.flatnonzero(strength >= MIN_CONCENTRATION)
-        chosen = chosen[np.argsort(-strength[chosen] * np.log1p(n[chosen].sum(axis=1)), kind="stable")][:SVD_TERMS]
         if not len(chosen):
             break
-        m, weight = len(chosen), idf[chosen] * strength[chosen]
+        weight = idf[chosen] * strength[chosen]
         place = np.full(size, -1)
-        place[chosen] = np.arange(m)
-        lean = np.zeros((size, count))
+        place[chosen] = np.arange(len(chosen))
         rate = n[chosen] / np.maximum(n[size], 1)
-        lean[chosen] = weight[:, None] * rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
-        rank = min(m, count)
-        held = np.zeros(size)
-        held[chosen] = strength[chosen]
-        model = Model(held, lean, np.zeros((len(LANGUAGES), size, rank)))
-        balance = 1 / np.maximum(n[size + 1 :], 1)
-        pairs = _collected(encoded, "k long, g double", _pairs(share(place), m, share(weight), share(model), balance), ["k"], "g")
-        gram = np.zeros(len(LANGUAGES) * m * m)
-        gram[pairs.k.to_numpy(dtype=np.int64)] = pairs.g
-        vectors = np.zeros((len(LANGUAGES), size, rank))
-        for k, one in enumerate(gram.reshape(len(LANGUAGES), m, m)):
-            values, basis = np.linalg.eigh(one)
-            vectors[k, chosen] = weight[:, None] * basis[:, np.argsort(-values)[:rank]]
-        model = Model(held, lean, vectors)
+        lean = weight[:, None] * rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
+        rank = min(len(chosen), count)
+        model = Model(place, strength[chosen], lean, np.zeros((len(LANGUAGES), len(chosen), rank)))
+        vectors = weight[:, None] * _range(blocks, model, weight, 1 / np.maximum(n[size + 1 :], 1), rank)
+        model = Model(place, strength[chosen], lean, vectors)
         # the terms' lean seeds the centroids, two passes refine them
         for _ in range(3):
-            sums = _collected(encoded, "k int, v double", _centres(share(model), count), ["k"], "v")
-            total = np.zeros(len(LANGUAGES) * count * rank)
-            total[sums.k.to_numpy(dtype=np.int64)] = sums.v
-            total = total.reshape(len(LANGUAGES), count, -1)
+            total = _summed(blocks, _centres(share(model)), len(LANGUAGES) * count, rank).reshape(len(LANGUAGES), count, rank)
             norm = np.linalg.norm(total, axis=2, keepdims=True)
             fresh = np.divide(total, norm, out=np.zeros_like(total), where=norm > 1e-9)
             # a subject to which no sentence of a language fell keeps the centroid it had
-            model = Model(held, lean, vectors, fresh if model.centroids is None else np.where(norm > 1e-9, fresh, model.centroids))
+            model = Model(place, strength[chosen], lean, vectors, fresh if model.centroids is None else np.where(norm > 1e-9, fresh, model.centroids))
     return model
 
 
@@ -351,51 +506,68 @@ def choose(counts: np.ndarray, mass: np.ndarray, rest: int | None, least: int =
     return [int(mass.argmax())]
 
 
-def _chooser(model, subjects: list[str], rest: int | None):
+CHOSEN = "doc_id long, digest long, subjects array<int>, sentences array<long>"
+
+
+def _chooser(model, subjects: int, rest: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            terms, ends, doc, language = _flat(pdf)
-            counts, mass = np.zeros((len(pdf), len(subjects))), np.zeros((len(pdf), len(subjects)))
-            if len(ends) and model.value is not None:
-                score, _ = model.value.score(terms, ends, language)
-                best = decide(score)
-                np.add.at(counts, (doc[best >= 0], best[best >= 0]), 1)
-                np.add.at(mass, doc, np.maximum(score, 0) ** 2)
-            rows = [(doc_id, subjects[s], int(counts[i, s])) for i, doc_id in enumerate(pdf.doc_id) for s in choose(counts[i], mass[i], rest)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences"])
+        for b in _blocks(batches):
+            counts, mass = np.zeros((b.documents, subjects)), np.zeros((b.documents, subjects))
+            if model.value is not None:
+                score, _ = model.value.score(b)
+                best = decide(score)[b.sentences]
+                counts = np.bincount((b.owner * subjects + best)[best >= 0], minlength=counts.size).reshape(counts.shape)
+                score = np.maximum(score, 0) ** 2
+                for s in range(subjects):
+                    mass[:, s] = np.bincount(b.owner, weights=score[b.sentences, s], minlength=b.documents)
+            picked = [choose(counts[i], mass[i], rest) for i in range(b.documents)]
+            yield pd.DataFrame({"doc_id": b.ids, "digest": b.digests, "subjects": picked, "sentences": [[int(counts[i, s]) for s in one] for i, one in enumerate(picked)]})
 
     return run
 
 
-def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rest: str | None = "tooling", rounds: int = ROUNDS) -> DataFrame:
+def _known_labels(labels: DataFrame, names: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of labelled documents in order, the ends of each one's subjects, and the subjects' numbers; ``most`` documents."""
+    number = F.create_map(*(x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))))
+    known = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), number[F.col("subject")].alias("s"))
+    by = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    found = by.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow().to_pandas().sort_values("doc_id")
+    sizes = found.s.map(len).to_numpy(dtype=np.int64) if len(found) else np.zeros(0, dtype=np.int64)
+    return found.doc_id.to_numpy(dtype=np.int64), np.cumsum(sizes), np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(s, dtype=np.int64) for s in found.s)])
+
+
+def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rest: str | None = "tooling", rounds: int = ROUNDS, max_labels: int = MAX_LABELS) -> DataFrame:
     """``(doc_id, subject, sentences)``: the one or two subjects of each document of ``documents`` (``doc_id``, ``text``).
 
     ``labels`` (``doc_id``, ``subject``) are hand labels of some of the documents, which may be wrong, null, repeated or at odds;
-    ``subjects`` (``subject``) names the subjects, ``rest`` the one that counts only where there is no other.
+    the model is fitted on at most ``max_labels`` labelled documents. ``subjects`` (``subject``) names the subjects, ``rest`` the one
+    that counts only where there is no other.
 
-    Defined cases: a null ``doc_id`` is no document, a repeated one counts by its first text in order; a null or empty text has
-    the subject ``rest`` (the first subject where ``rest`` is None); labels of unknown documents or subjects do not count;
-    without any usable label every document has the subject ``rest``; an empty table gives no rows.
+    Defined cases: a null ``doc_id`` is no document; of a repeated one the text with the least digest gives the subjects, though
+    each row counts in the statistics; a null or empty text has the subject ``rest`` (the first subject where ``rest`` is None);
+    labels of unknown documents or subjects do not count; without any usable label every document has the subject ``rest``; an
+    empty table gives no rows.
     """
     spark = documents.sparkSession
+    share = spark.sparkContext.broadcast
     names = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())
     if not names:
         return spark.createDataFrame([], "doc_id long, subject string, sentences long")
-    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = max(1, texts.count())
-    frequencies = texts.select("text").mapInPandas(_document_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    # the share bounds the vocabulary by the terms of an average document over the least share
-    kept = frequencies.where((F.col("df") >= max(2, MIN_SHARE * total)) & (F.col("df") <= max(2, MAX_SHARE * total))).toArrow().to_pandas().sort_values("term")
-    df = dict(zip(kept.term, kept.df))
-    whole = [" " not in t or df[t] >= MIN_PAIR_SHARE * min(df.get(w, total) for w in t.split(" ")) for t in kept.term]
-    kept = kept[np.array(whole, dtype=bool)]
-    vocabulary = {t: i for i, t in enumerate(kept.term)}
+    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    raw = checkpointed(texts.mapInArrow(_encoder(share(_known_labels(labels, names, max_labels))), _SCHEMA(RAW)))
+    total = max(1, texts.select("doc_id").count())
+    frequencies = raw.select("hashes", "first", "second", "frequency").mapInPandas(_frequencies, "hash long, first long, second long, df long")
+    frequencies = frequencies.groupBy("hash", "first", "second").agg(F.sum("df").alias("df"))
+    kept = frequencies.where((F.col("df") >= max(2, MIN_SHARE * total)) & (F.col("df") <= max(2, MAX_SHARE * total))).toArrow().to_pandas()
+    df = pd.Series(kept.df.to_numpy(), index=kept["hash"].to_numpy())
+    df = df[~df.index.duplicated()]
+    rarer = np.minimum(df.reindex(kept["first"]).fillna(total).to_numpy(), df.reindex(kept["second"]).fillna(total).to_numpy())
+    kept = kept[(kept.second == 0) | (kept.df >= MIN_PAIR_SHARE * rarer)].drop_duplicates("hash").sort_values("hash")
     idf = np.log(total / kept.df.to_numpy(dtype=float)) if len(kept) else np.array([])
-    encoded = texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(_encoder(spark.sparkContext.broadcast(vocabulary)), ENCODED)
-    encoded = checkpointed(encoded)
-    number = F.create_map(*(x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))))
-    known = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), number[F.col("subject")].alias("s"))
-    labelled = encoded.join(known.groupBy("doc_id").agg(F.collect_set("s").alias("labels")), "doc_id")
-    model = _fit(encoded, labelled, names, idf, rounds)
+    blocks = checkpointed(raw.mapInPandas(_recoder(share(kept["hash"].to_numpy(dtype=np.int64))), _SCHEMA(KEPT)))
+    model = _fit(blocks, names, idf, rounds)
     at = names.index(rest) if rest in names else None
-    return encoded.mapInPandas(_chooser(spark.sparkContext.broadcast(model), names, at), "doc_id long, subject string, sentences long")
+    found = blocks.mapInPandas(_chooser(share(model), len(names), at), CHOSEN)
+    found = found.groupBy("doc_id").agg(F.min(F.struct("digest", "subjects", "sentences")).alias("r"))
+    named = F.create_map(*(x for i, name in enumerate(names) for x in (F.lit(i), F.lit(name))))
+    return found.select("doc_id", F.explode(F.arrays_zip("r.subjects", "r.sentences")).alias("x")).select("doc_id", named[F.col("x.subjects")].alias("subject"), F.col("x.sentences").alias("sentences"))

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gritstone.llm import subjects as S
+from tests.conftest import data
 
 NOUNS = {
     "law": "court filing,lease agreement,notary seal,jury list,patent claim,legal brief".split(","),
@@ -68,3 +73,41 @@ def test_choose(counts, mass, chosen):
 def test_sentences():
     language, sentences = S.sentences_of("Der Import von `loadTables` fehlt. Der Import von load_tables fehlt.\n\nThe type-checkers!")
     assert language == "de" and len(sentences) == 2 and "type checker" in sentences[1]
+
+
+def plain_sentences(text):
+    """The same, word by word."""
+    seen, tell = {}, Counter()
+    for raw in re.split(r"\n+|(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[>*-]*[^\W_])", text or ""):
+        words = re.findall(r"[^\W\d_]+", re.sub(r"(?<=[a-zà-ÿ])(?=[A-Z])", " ", raw).lower())
+        key = " ".join(words)
+        if not words or key in seen:
+            continue
+        tell.update(k for w in words for k, known in S._TELLTALE.items() if w in known)
+        folded = [S._fold(w) for w in words]
+        pairs = [f"{a} {b}" for a, b in zip(folded, folded[1:]) if len(a) > 2 and len(b) > 2 and a not in S._FUNCTION and b not in S._FUNCTION]
+        seen[key] = {w for w in folded if len(w) > 2} | set(pairs)
+    return (max(S.LANGUAGES, key=lambda k: tell[k]) if tell else "en"), list(seen.values())
+
+
+def test_taken_apart_like_word_by_word():
+    texts = pq.read_table(f"{data('sf0.01')}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    texts = pa.concat_arrays([texts.cast(pa.string()), pa.array([None, "", "...", "A. B! (c)? 'D' x", "same one. Same one! other", "Ärger über Öl\r\n\r\nel niño y los años", "one" * 5000], pa.string())])
+    t = S.take_apart(texts)
+    named = [t.words[a] if b < 0 else f"{t.words[a]} {t.words[b]}" for a, b in zip(t.first, t.second)]
+    starts, text_starts = np.r_[0, t.term_ends[:-1]], np.r_[0, t.text_ends[:-1]]
+    for i, text in enumerate(texts.to_pylist()):
+        language, sentences = plain_sentences(text)
+        assert S.LANGUAGES[t.language[i]] == language
+        mine = [{named[k] for k in t.terms[starts[s] : t.term_ends[s]]} for s in t.sentences[text_starts[i] : t.text_ends[i]]]
+        assert mine == sentences, text
+
+
+def test_repeated_ids_and_bounded_labels(spark):
+    docs, truth = corpus(300, 6)
+    twice = spark.createDataFrame([(d, t) for d, t, _ in docs] + [(d, t) for d, t, _ in docs[:50]] + [(docs[0][0], "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, s) for d, t in truth.items() for s in t], "doc_id long, subject string")
+    names = spark.createDataFrame([(s,) for s in NOUNS], "subject string")
+    for most in (100, 200_000):
+        got = S.assign_subjects(twice, labels, names, max_labels=most).groupBy("doc_id").count().collect()
+        assert {r.doc_id for r in got} == {d for d, *_ in docs} and all(r["count"] <= 2 for r in got)
