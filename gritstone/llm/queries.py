@@ -99,21 +99,26 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(leaks_of, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
-def _mix(spark: SparkSession, sf: str) -> DataFrame:
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     found = subjects.assign_subjects(documents, table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
     topics = found.select("doc_id", F.col("subject").alias("topic"))
-    return mixing.mix_documents(documents, table(spark, sf, "mix_targets"), topics)
+    return mixing.mix_with_margins(documents, table(spark, sf, "mix_targets"), topics)
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
-    return _mix(spark, sf)
+    return _mix(spark, sf)[0]
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share each source should have of the mix's tokens and the share it has."""
-    return mixing.mix_report(_mix(spark, sf), table(spark, sf, "mix_targets"))
+    return mixing.mix_report(_mix(spark, sf)[0], table(spark, sf, "mix_targets"))
+
+
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source, language and topic the share it should have of the mix, the share planned and the share reached."""
+    return mixing.margin_report(*_mix(spark, sf))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,13 +131,13 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and their share per subject; a document with two subjects counts half for each."""
     found = p8_found(spark, sf)
     part = found.withColumn("part", 1 / F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    total = part.agg(F.sum("part").alias("all"))
     by = part.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("part").alias("parts"))
-    return by.join(F.broadcast(total)).select("subject", "documents", F.round(F.col("parts") / F.col("all"), 6).alias("share"))
+    # as many rows as subjects
+    return by.select("subject", "documents", F.round(F.col("parts") / F.sum("parts").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_near": p6_near, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_margins": p7_margins, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 _KEYS = """

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from gritstone.session import checkpointed
 
+from .batches import slices
+
 #: Share of the documents a term must occur in (and two documents at least), and may occur in at most. It is a share, so that
 #: the same terms count at every size, and it bounds the vocabulary by the terms of an average document over the least share.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.5
@@ -45,8 +47,6 @@ MIN_COSINE, MIN_LEAD = 0.45, 0.08
 ROUNDS, PASSES, OVERSAMPLE = 2, 2, 10
 #: Labels the model is fitted on at most, taken by a hash of their document; all documents count in everything else.
 MAX_LABELS = 200_000
-#: Bytes of text that are taken apart at once.
-SLICE_BYTES = 16_000_000
 
 # Function words that tell the language of a text; fixed values.
 _TELLTALE = {
@@ -200,23 +200,13 @@ def _hashed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(t.second < 0, a, both).view(np.int64), a.view(np.int64), b.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``SLICE_BYTES`` of text at a time."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(size):
-        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def _encoder(labels):
     """Texts to blocks. ``labels`` has the labelled documents' ids in order, the ends of each one's subjects, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_ends, known_subjects = labels.value
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 texts = batch.column("text").cast(pa.string())
                 t = take_apart(texts)
                 hashes, first, second = _hashed(t)
@@ -282,7 +272,7 @@ class Model:
         p = self.place[b.terms] if len(b.terms) else b.terms
         return p[p >= 0], b.within[p >= 0]
 
-    def score(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, b: Block, embed: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Cosines of the block's different sentences to the subjects' centroids of their language, and their embeddings: unit
         vectors in the space of the language, zero where terms carry too little weight. While there are no centroids, the share
         of the terms' lean stands for the cosine."""
@@ -291,12 +281,17 @@ class Model:
         told = ~silent[of] if len(of) else np.zeros(0, dtype=bool)
         p, of = p[told], of[told]
         languages, size, rank = self.vectors.shape
+        if self.centroids is None:
+            lean = _sums(self.lean, p, of, b.count)
+            total = lean.sum(axis=1, keepdims=True)
+            np.divide(lean, total, out=lean, where=total > 1e-9)
+            if not embed:
+                return lean, None
         x = _sums(self.vectors.reshape(languages * size, rank), b.sentence_language[of] * size + p, of, b.count)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         np.divide(x, norm, out=x, where=norm > 1e-9)
         if self.centroids is None:
-            lean = _sums(self.lean, p, of, b.count)
-            return lean / np.maximum(lean.sum(axis=1, keepdims=True), 1e-9), x
+            return lean, x
         out = np.zeros((b.count, self.centroids.shape[1]))
         for n in range(languages):
             rows = b.sentence_language == n
@@ -326,7 +321,7 @@ def _sums(rows: np.ndarray, picked: np.ndarray, of: np.ndarray, count: int) -> n
 
 def _votes(model: Model, b: Block) -> np.ndarray:
     """Each document's shares in the subjects that two of its sentences or more deal with."""
-    best = decide(model.score(b)[0])[b.sentences]
+    best = decide(model.score(b, embed=False)[0])[b.sentences]
     subjects = model.lean.shape[1]
     counts = np.bincount((b.owner * subjects + best)[best >= 0], minlength=b.documents * subjects).reshape(b.documents, subjects).astype(float)
     counts[counts < 2] = 0

@@ -3,9 +3,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gritstone.llm import mixing
+from tests.conftest import data
 
 pytestmark = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer here")
 DOCS = "doc_id long, text string, source string, lang string, tokens int"
@@ -57,3 +60,24 @@ def test_tokens_are_those_of_the_vocabulary():
     e = mixing._encoding(mixing.TOKENIZER)
     for text in ("Hello world's end", "äöü — ​", "  spaces\n\n", "x" * 1000):
         assert e.decode(e.encode_ordinary(text)) == text
+
+
+def test_counted_in_columns_as_by_the_encoding():
+    e = mixing._encoding(mixing.TOKENIZER)
+    texts = [None, "", " ", "it's 'the  end'\n\n  x\t\ty \r\n", "don't we'll THEY'RE", "a b", "1234 x12 §§ ¿qué?", "tab\x01inside", "日本語 text", "naïve café — dash", "   ", "x\n", "'s's '", "a" * 3000]
+    texts += pq.read_table(f"{data('sf0.01')}/documents.parquet", columns=["text"])["text"].to_pylist()
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("ab'sdtl 19.,\n\t\r é€_"), 60)) for _ in range(2000)]
+    assert mixing.count_tokens(pa.array(texts, pa.string()), e).tolist() == [len(e.encode_ordinary(t or "")) for t in texts]
+
+
+def test_documents_with_two_topics_count_half_for_each(spark):
+    docs = [(i, f"word number {i} " * (1 + i % 5), "ab"[i % 2], "en", 0) for i in range(2000)]
+    d, t = frames(spark, docs, [("a", 0.5, 2), ("b", 0.5, 2)])
+    topics = spark.createDataFrame([(i, s) for i in range(2000) for s in (["x"], ["x", "y"], ["z", "y"])[i % 3]] + [(7, None)], "doc_id long, topic string")
+    mix, margins = mixing.mix_with_margins(d, t, topics, block_documents=500)
+    got = {(r.dimension, r.member): r for r in mixing.margin_report(mix, margins).collect()}
+    assert {k for k in got} == {("source", "a"), ("source", "b"), ("lang", "en"), ("topic", "x"), ("topic", "y"), ("topic", "z")}
+    for r in got.values():
+        assert abs(r.planned_share - r.target_share) < 1e-3 and abs(r.reached_share - r.target_share) < 0.01
+    assert abs(got["topic", "x"].target_share - 0.5) < 0.02 and abs(got["topic", "z"].target_share - 1 / 6) < 0.02
