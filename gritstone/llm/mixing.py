@@ -16,7 +16,6 @@ from functools import cache, lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,31 +46,9 @@ def _encoding_of(vocabulary: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-# Texts of these characters alone are cut by the same rules in columns: their white space is plain.
-_NARROW = r"^[\t\n\r -~\x{a1}-\x{24f}]*$"
-#: Marks a cut; no narrow text holds it.
-_CUT = "\x01"
-
-
 def count_tokens(texts: pa.Array, encoding) -> np.ndarray:
-    """The tokens of each text; null has none. Narrow texts are cut into words in columns and each different word is merged
-    once; the encoding itself counts the others."""
-    texts = texts.cast(pa.string()).fill_null("")
-    narrow = pc.match_substring_regex(texts, _NARROW).to_numpy(zero_copy_only=False)
-    out = np.zeros(len(texts), dtype=np.int64)
-    for i in np.flatnonzero(~narrow):
-        out[i] = len(encoding.encode_ordinary(texts[i].as_py()))
-    if narrow.any():
-        own = texts.filter(pa.array(narrow))
-        # of white space before a word the last character stands apart, the others together
-        own = pc.replace_substring_regex(own, pattern=r"([\t\n\r ])([^\t\n\r ])", replacement=_CUT + r"\1\2")
-        own = pc.replace_substring_regex(own, pattern=r"('(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\t\n\r \x01\p{L}\p{N}]+|[\t\n\r ]+)", replacement=r"\1" + _CUT)
-        lists = pc.split_pattern(own, _CUT)
-        words = lists.flatten().dictionary_encode()
-        sizes = np.array([len(encoding.encode_ordinary(w)) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        owner = np.repeat(np.arange(len(own)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        out[narrow] = np.bincount(owner, weights=sizes[words.indices.to_numpy()], minlength=len(own)).astype(np.int64)
-    return out
+    """The tokens of each text; null has none."""
+    return np.array([len(encoding.encode_ordinary(t)) if t else 0 for t in texts.cast(pa.string()).to_pylist()], dtype=np.int64)
 
 
 def with_tokens(rows: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
