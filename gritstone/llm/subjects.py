@@ -113,9 +113,8 @@ def take_apart(texts: pa.Array) -> Texts:
     word_ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)).astype(np.int64)
     spoken = split.flatten().dictionary_encode()
     raw, spoken = spoken.dictionary.to_pylist(), spoken.indices.to_numpy().astype(np.int64)
-    tell = np.array([[w in known for known in _TELLTALE.values()] for w in raw], dtype=np.int64).reshape(-1, len(LANGUAGES))
-    seen = np.cumsum(np.vstack([np.zeros((1, len(LANGUAGES)), dtype=np.int64), tell[spoken]]), axis=0)
-    told = seen[word_ends] - seen[np.r_[0, word_ends[:-1]]] if len(word_ends) else seen[:0]
+    within = np.repeat(np.arange(len(word_ends)), np.diff(np.r_[0, word_ends]))
+    told = np.stack([np.bincount(within[np.array([w in known for w in raw], dtype=bool)[spoken]], minlength=len(word_ends)) for known in _TELLTALE.values()], axis=1)
     votes = np.stack([np.bincount(owner, weights=told[code, n], minlength=count) for n in range(len(LANGUAGES))], axis=1)
     language = np.where(votes.any(axis=1), votes.argmax(axis=1), LANGUAGES.index("en"))
 
@@ -125,7 +124,6 @@ def take_apart(texts: pa.Array) -> Texts:
     spoken = number[spoken]
     wide = np.array([len(w) > 2 for w in words], dtype=bool)
     plain = wide & np.array([w not in _FUNCTION for w in words], dtype=bool)
-    within = np.repeat(np.arange(len(word_ends)), np.diff(np.r_[0, word_ends]))
     single = np.flatnonzero(wide[spoken])
     paired = np.flatnonzero(plain[spoken[:-1]] & plain[spoken[1:]] & (within[:-1] == within[1:])) if len(spoken) else single
     key = np.r_[spoken[single] * (size + 1) + size, spoken[paired] * (size + 1) + spoken[paired + 1]]
@@ -292,7 +290,7 @@ class Model:
         np.divide(x, norm, out=x, where=norm > 1e-9)
         if self.centroids is None:
             return lean, x
-        out = np.zeros((b.count, self.centroids.shape[1]))
+        out = np.zeros((self.centroids.shape[1], b.count)).T
         for n in range(languages):
             rows = b.sentence_language == n
             out[rows] = x[rows] @ self.centroids[n].T
@@ -303,20 +301,25 @@ def decide(score: np.ndarray) -> np.ndarray:
     """The best column of each row, or -1 below the least cosine or without the least lead."""
     if not len(score):
         return np.zeros(0, dtype=np.int64)
-    best = score.argmax(axis=1)
-    top = score[np.arange(len(score)), best]
-    second = np.partition(score, -2, axis=1)[:, -2] if score.shape[1] > 1 else np.zeros(len(score))
+    best = np.zeros(len(score), dtype=np.int64)
+    top, second = np.full(len(score), -np.inf), np.full(len(score), -np.inf)
+    for k in range(score.shape[1]):
+        one = score[:, k]
+        ahead = one > top
+        second = np.maximum(second, np.where(ahead, top, one))
+        top = np.where(ahead, one, top)
+        best[ahead] = k
+    second = second if score.shape[1] > 1 else 0
     best[(top < MIN_COSINE) | (top - second < MIN_LEAD)] = -1
     return best
 
 
-def _sums(rows: np.ndarray, picked: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
-    """Sums of the ``picked`` rows by the number ``of`` each, which ascends."""
-    out = np.zeros((count, rows.shape[1]))
-    if len(of):
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        out[of[starts]] = np.add.reduceat(rows[picked], starts, axis=0)
-    return out
+def _sums(rows: np.ndarray, picked: np.ndarray, of: np.ndarray, count: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the ``picked`` rows, times ``weights``, by the number ``of`` each; a column at a time, which lies in the cache."""
+    out = np.empty((rows.shape[1], count))
+    for k, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[k] = np.bincount(of, weights=column[picked] if weights is None else column[picked] * weights, minlength=count)
+    return out.T
 
 
 def _votes(model: Model, b: Block) -> np.ndarray:
@@ -363,28 +366,18 @@ def _gram(model, start, weight, balance: np.ndarray) -> Callable:
         languages, size, rank = thin.shape
         thin, total = thin.reshape(languages * size, rank), np.zeros((languages * size, rank))
         for b in _blocks(batches):
+            worth = np.sqrt((_votes(model.value, b) * balance[b.language]).sum(axis=1))
+            told = worth[b.owner] > 0
+            sentences, owner = b.sentences[told], b.owner[told]
             p, of = model.value.weighted(b)
-            met, sentence = _take(np.cumsum(np.bincount(of, minlength=b.count)), p, b.sentences)
-            key, tf = np.unique(b.owner[sentence] * size + met, return_counts=True)
-            if not len(key):
-                continue
+            met, sentence = _take(np.cumsum(np.bincount(of, minlength=b.count)), p, sentences)
+            key, tf = np.unique(owner[sentence] * size + met, return_counts=True)
             owner, p = key // size, key % size
             x = w[p] * (1 + np.log(tf))
-            worth = np.sqrt((_votes(model.value, b) * balance[b.language]).sum(axis=1))
             length = np.sqrt(np.bincount(owner, weights=x * x, minlength=b.documents))
             x *= worth[owner] / length[owner]
-            told = x > 0
-            owner, p, x = owner[told], p[told], x[told]
-            if not len(x):
-                continue
             row = b.language[owner] * size + p
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            seen = np.zeros((b.documents, rank))
-            seen[owner[starts]] = np.add.reduceat(thin[row] * x[:, None], starts, axis=0)
-            order = np.argsort(row, kind="stable")
-            row, x, owner = row[order], x[order], owner[order]
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            total[row[starts]] += np.add.reduceat(seen[owner] * x[:, None], starts, axis=0)
+            total += _sums(_sums(thin, row, owner, b.documents, x), owner, row, len(total), x)
         yield _rows(total, "t")
 
     return run
@@ -402,9 +395,8 @@ def _centres(model) -> Callable:
             best = decide(score)
             known = best >= 0
             place = b.sentence_language[known] * subjects + best[known]
-            times = np.bincount(b.sentences, minlength=b.count)[known]
-            for k in range(rank):
-                total[:, k] += np.bincount(place, weights=x[known, k] * times, minlength=len(total))
+            times = np.bincount(b.sentences, minlength=b.count)[known].astype(float)
+            total += _sums(x, np.flatnonzero(known), place, len(total), times)
         yield _rows(total, "t")
 
     return run
