@@ -14,23 +14,15 @@ from . import docpairs, handwritten, leaks, mixing, setjoin, subjects, syntax, t
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def latest_tests(tests: DataFrame) -> DataFrame:
-    """One row per ``test_no``: a test delivered twice counts once, by its latest ``received_at``."""
-    row = F.struct("received_at", "mutants")
-    return tests.where("test_no IS NOT NULL").groupBy("test_no").agg(F.max(row).alias("r")).select("test_no", F.col("r.mutants").alias("mutants"))
-
-
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different tests that kill nearly the same mutants (Jaccard of the key sets at least 0.8)."""
-    tests = latest_tests(table(spark, sf, "tests").select("test_no", "mutants", "received_at"))
-    pairs = setjoin.similar_pairs(tests, "test_no", F.col("mutants"), 0.8)
+    pairs = setjoin.similar_pairs(table(spark, sf, "tests"), "test_no", F.col("mutants"), 0.8, F.col("received_at"))
     return pairs.select(F.col("a").alias("test_a"), F.col("b").alias("test_b"))
 
 
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every test with keys: its class of equal key sets and to how many other classes that class is linked."""
-    tests = latest_tests(table(spark, sf, "tests").select("test_no", "mutants", "received_at"))
-    members, links = setjoin.similar_classes(tests, "test_no", F.col("mutants"), 0.8)
+    members, links = setjoin.similar_classes(table(spark, sf, "tests"), "test_no", F.col("mutants"), 0.8, F.col("received_at"))
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return members.join(ends, "class_id", "left").select(F.col("id").alias("test_no"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -56,3 +56,19 @@ def test_a_large_class_of_copies_is_one_link(spark):
     rows = [(i, ["a", "b", "c", "d", "e"]) for i in range(300)] + [(900, ["a", "b", "c", "d"])]
     members, links = setjoin.similar_classes(frame(spark, rows), "id", F.col("tokens"), 0.8)
     assert members.count() == 301 and [(r.a, r.b) for r in links.collect()] == [(0, 900)]
+
+
+def test_long_sets_hot_tokens_and_sliced_classes(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "TOGETHER", 7)
+    rng = random.Random(5)
+    long = [f"t{i}" for i in range(2000)]
+    rows = [(i, rng.sample(long, 2000 - rng.randint(0, 300))) for i in range(12)] + [(100 + i, ["x", "y", "z"]) for i in range(40)] + [(200 + i, ["x", "y", "z", "w", "v"][: 4 + i % 2]) for i in range(20)]
+    for together in (6, 1000):
+        got = sorted((r.a, r.b) for r in setjoin.similar_pairs(frame(spark, rows), "id", F.col("tokens"), 0.75, members_together=together).collect())
+        assert got == brute(rows, 0.75) and len(got) > 1000
+
+
+def test_the_newest_row_of_an_id_counts(spark):
+    rows = [(1, ["a", "b"], 1), (1, ["c", "d"], 2), (2, ["c", "d"], 1), (3, ["a", "b"], None), (3, ["c", "d"], 0), (4, ["a", "b"], 5), (4, ["a", "b"], 5)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, at int")
+    assert sorted((r.a, r.b) for r in setjoin.similar_pairs(df, "id", F.col("tokens"), 0.8, F.col("at")).collect()) == [(1, 2), (1, 3), (2, 3)]
