@@ -133,6 +133,6 @@ def test_marks_mined_from_what_travels(spark):
     """Libraries are copied to several repositories, some copies under a mark no list knows; it tells a library seen once."""
     mark = "# Kept as delivered from the attic; lib {}.\n\n"
     rows = [(i * 10 + r, f"r{r}", f"p{i}.py", "python", mark.format(NAMES[i]) + body(600 + i)) for i in range(18) for r in range(3)]
-    rows += [(100, "r9", "one.py", "python", mark.format("rare") + body(700)), (101, "r8", "copy.py", "python", body(601)), (102, "r8", "own.py", "python", "# Kept in order.\n\n" + body(701))]
+    rows += [(1100, "r9", "one.py", "python", mark.format("rare") + body(700)), (1101, "r8", "copy.py", "python", body(601)), (1102, "r8", "own.py", "python", "# Kept in order.\n\n" + body(701))]
     got = kinds(spark, rows)
-    assert got.pop(102) == "hand-written" and set(got.values()) == {"vendored"} and len(got) == 56
+    assert got.pop(1102) == "hand-written" and set(got.values()) == {"vendored"} and len(got) == 56
