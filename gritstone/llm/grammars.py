@@ -34,6 +34,45 @@ _TEMPLATE = _template(2)
 _REGEX = r"(?:(?<=[(,=:\[!&|?{};+~>])[ \t\n]*|(?<=\breturn)[ \t]*|(?<=\btypeof)[ \t]*|(?<=\bcase)[ \t]*)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
+
+
+def _flat_templates(pattern: re.Pattern, text: str) -> str:
+    """``text`` with what stands in its template literals blanked out, however deep they nest; lines and places stay. ``pattern``
+    finds the tokens between them."""
+    out: list[str] = []
+    kept, at, start = 0, 0, 0
+    open_braces: list[int] = []  # of each template that is open, the braces open in its substitution; -1 in its text
+    while at < len(text):
+        if open_braces and open_braces[-1] < 0:
+            at = _TEMPLATE_TEXT.match(text, at).end()
+            if text.startswith("${", at):
+                open_braces[-1] = 0
+                at += 2
+                continue
+            open_braces.pop()
+            at += 1
+            if not open_braces and at <= len(text):
+                out += [text[kept : start + 1], re.sub(r"[^\n]", " ", text[start + 1 : at - 1]), "`"]
+                kept = at
+            continue
+        m = pattern.search(text, at)
+        if m is None:
+            break
+        if m[0][0] == "`":
+            if not open_braces:
+                start = m.start()
+            open_braces.append(-1)
+            at = m.start() + 1
+            continue
+        at = m.end()
+        if open_braces and m[0] == "{":
+            open_braces[-1] += 1
+        elif open_braces and m[0] == "}":
+            open_braces[-1] -= 1
+    return "".join(out) + text[kept:]
+
+
 def _operators(text: str) -> str:
     return "|".join(re.escape(op) for op in sorted((o for o in text.split() if not o[0].isalnum() and len(o) > 1), key=len, reverse=True)) or r"(?!)"
 
@@ -96,6 +135,17 @@ class Lexer:
         return [m.start() for m in self.pattern.finditer(text) for _ in self.kind(m[0])]
 
 
+class _TemplateLexer(Lexer):
+    """As the pattern of a template literal goes down two levels only, texts in which one seems open are flattened first."""
+
+    def kinds_of(self, text: str) -> str:
+        kinds = super().kinds_of(text)
+        return super().kinds_of(_flat_templates(self.pattern, text)) if BAD in kinds and "`" in text else kinds
+
+    def places(self, text: str) -> list[int]:
+        return super().places(_flat_templates(self.pattern, text) if BAD in super().kinds_of(text) and "`" in text else text)
+
+
 _several = re.compile("\n\n+")
 
 # ------------------------------------------------------------------------------------------------ JavaScript, TypeScript
@@ -222,7 +272,7 @@ TypeMember <- {readonly + -}* '[' Name ('in' Type ('as' Type)? / ':' Type) ']' (
 @cache
 def _javascript(typed: bool):
     kinds = Kinds(_JS_WORDS, _JS_OPS)
-    lexer = Lexer(kinds, _JS_OPS, f"{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}", rf"\A#![^\n]*|{_LINE}|{_BLOCK}", suffix="n?", ident=r"[^\W\d]\w*(?:\$[\w$]*)?|\$[\w$]*", newline=True)
+    lexer = _TemplateLexer(kinds, _JS_OPS, f"{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}", rf"\A#![^\n]*|{_LINE}|{_BLOCK}", suffix="n?", ident=r"[^\W\d]\w*(?:\$[\w$]*)?|\$[\w$]*", newline=True)
     classify = lexer.classify
     lexer.classify = lambda token, first: "i" if first == "$" else classify(token, first)
     text = _JS.replace("%NAME%", _JS_NAME) + (_TS_ONLY if typed else _JS_ONLY)
@@ -887,9 +937,13 @@ _RUNS = re.compile(f"(?:[{NUM}{STR}],){{4,}}(?=[{NUM}{STR}])")
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}) |^(?:<{7}|={7}|>{7}|\|{7})$", re.M)
 
 
+#: Frames that a parse may nest, some forty per level of brackets. They lie on the heap, about half a kilobyte each.
+FRAMES = 1_000_000
+
+
 def parser_of(language: str):
     """``(lexer, grammar, fix)`` of a language, built once per process."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     return _BUILD[language]()
 
 

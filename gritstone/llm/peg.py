@@ -286,7 +286,8 @@ class Grammar:
             p = end + 1
 
     def parse(self, kinds: str) -> tuple[int, set[str]] | None:
-        """None if the whole token string is accepted, else the furthest failure: its index and the kinds expected there."""
+        """None if the whole token string is accepted, else the furthest failure: its index and the kinds expected there. What
+        nests deeper than the interpreter's frames go raises RecursionError: nothing is known of it."""
         s = kinds + END
         match: dict[int, int] = {}
         stack: list[int] = []
@@ -298,14 +299,11 @@ class Grammar:
         self.match = match
         state = self.state
         state[:] = [s, -1, -2, set()]
-        try:
-            if self._run() == len(s):
-                return None
-            at = max(state[1], 0)
-            state[:] = [s, -1, at, set()]
-            self._run()
-        except RecursionError:
-            return max(state[1], 0), {"less nesting"}
+        if self._run() == len(s):
+            return None
+        at = max(state[1], 0)
+        state[:] = [s, -1, at, set()]
+        self._run()
         return at, {self.kinds.name.get(c, c) for c in state[3]}
 
     def _run(self) -> int:

@@ -24,7 +24,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if name is None or source is None:
                 rows.append((file_id, repo, name, at, None, None, None, None))
                 continue
-            failure = grammars.check_source(source, name)
+            try:
+                failure = grammars.check_source(source, name)
+            except RecursionError:
+                rows.append((file_id, repo, name, at, None, "too deep", None, None))
+                continue
             rows.append((file_id, repo, name, at, failure is None, *(failure or (None, None, None))))
         out = pd.DataFrame(rows, columns=names)
         out["line"] = out["line"].astype("Int32")
@@ -38,7 +42,8 @@ def syntax_verdicts(files: DataFrame) -> DataFrame:
     furthest failure and ``message`` what stands there and what could have. ``language`` is taken from its name however spelt,
     else from the path's extension.
 
-    Defined cases: a null id is no file; a null source or a language without a grammar gives a null ``valid``; an empty source
+    Defined cases: a null id is no file; a null source or a language without a grammar gives a null ``valid``, as does a text that
+    nests deeper than can be judged, with the cause ``too deep``; an empty source
     is valid; of a file delivered more than once the latest ``received_at`` counts (null is the oldest); an empty table gives
     no rows.
     """

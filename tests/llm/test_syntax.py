@@ -88,4 +88,32 @@ def test_verdicts_and_rates(spark):
 
 def test_long_text():
     assert grammars.check_source("x = [" + "1, " * 200_000 + "]", "python") is None
-    assert grammars.check_source("x = " + "(" * 3000 + ")" * 3000, "python") is not None
+    assert grammars.check_source("x = " + "(" * 3000 + ")" * 3000, "python") is None
+
+
+@pytest.mark.parametrize(
+    ("language", "form"),
+    [("javascript", "x = {}1{};\n()"), ("typescript", "x = {}1{};\n[]"), ("java", "class A {{ int x = {}1{}; }}\n()"), ("go", "package a\nvar x = {}1{}\n()"), ("rust", "fn f() {{ let x = {}1{}; }}\n()"), ("c", "int x = {}1{};\n()"), ("python", "x = {}1{}\n[]"), ("ruby", "x = {}1{}\n[]")],
+)
+def test_deep_nesting(language, form):
+    form, opens, closes = form[:-2], form[-2], form[-1]
+    for n in (100, 5000):
+        assert grammars.check_source(form.format(opens * n, closes * n), language) is None
+        assert grammars.check_source(form.format(opens * n, closes * (n - 1)), language) is not None
+
+
+def test_too_deep_is_unknown(spark, monkeypatch):
+    monkeypatch.setattr(grammars.Grammar, "_run", lambda self: self._run())
+    rows = [r for r in syntax._judge([__import__("pandas").DataFrame([{"file_id": 1, "repo": "r", "path": "a.go", "language": "go", "source": "package a\n", "received_at": None}])])]
+    assert rows[0].valid.tolist() == [None] and rows[0].cause.tolist() == ["too deep"]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5, 40])
+def test_nested_templates(depth):
+    t = "`a${b}\n`"
+    for _ in range(depth):
+        t = "`x${f(" + t + ", {k: '`'}, /`/)} y`"
+    assert grammars.check_source(f"const a = {t};\nlet b = 2;\n", "typescript") is None
+    cause, line, _ = grammars.check_source(f"const a = {t};\nlet b = = 2;\n", "typescript")
+    assert (cause, line) == ("unexpected token", 3)
+    assert grammars.check_source(f"const a = {t[:-2]};\nlet b = 2;\n", "typescript") is not None
