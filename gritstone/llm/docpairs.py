@@ -87,7 +87,9 @@ def _one_liners(lines: list[str], wanted: set[int], head: list[int] | None, delt
             if delta[last] <= 0 and lines[last].strip():
                 ends[line] = last + 1
             continue
-        for last in range(i, min(i + 40, len(lines))):
+        for last in range(i, len(lines)):
+            if last > i and last + 1 in wanted:
+                break
             if "{" in lines[last]:
                 if lines[last].count("{") <= lines[last].count("}"):
                     ends[line] = last + 1
@@ -99,9 +101,10 @@ def _one_liners(lines: list[str], wanted: set[int], head: list[int] | None, delt
 
 
 def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int] | None = None, heads: dict[int, str] | None = None) -> list[tuple]:
-    """Rows ``(first, last, kind, text, delta)`` of one source. Kinds: ``comment`` (one per line), ``decorator``, ``doc`` (first
-    is the line of the statement it documents), ``code`` (only where the nesting changes). ``ends`` is filled with the ends of
-    declarations that open no nesting, ``heads`` with their signatures."""
+    """Rows ``(first, last, kind, text, delta)`` of one source. Kinds: ``comment`` (one per line), ``decorator``, ``doc`` (a statement
+    that is a string; first is the line of the statement before it, which it documents if that is a declaration), ``code`` (only
+    where the nesting changes). ``ends`` is filled with the ends of declarations that open no nesting, ``heads`` with their
+    signatures."""
     text = lexing.clean(source)
     raw = text.split("\n")
     lines = lexing.mask(text, language).split("\n")
@@ -116,7 +119,7 @@ def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int]
         ends.update(_one_liners(lines, wanted, head if python else None, delta if python else None))
     if heads is not None:
         heads.update((line, _signature(raw, lines, line - 1, wanted)) for line in wanted if 0 < line <= len(lines))
-    seeking = 0
+    before = 0
     for i, line in enumerate(lines):
         bare = line.strip()
         if not bare:
@@ -133,14 +136,12 @@ def lex_rows(source: str, language: str, wanted: set[int], ends: dict[int, int]
                 continue
             held = 0
         if python:
-            if seeking and head[i] != head[seeking - 1]:
-                if bare[0] in "\x02rRuU" and bare.lstrip("rRuU")[:1] == "\x02":
-                    doc = _docstring(text, starts[i])
-                    if doc is not None:
-                        rows.append((seeking, seeking, "doc", doc, 0))
-                seeking = 0
-            if i + 1 in wanted:
-                seeking = i + 1
+            if before and head[i] != head[before - 1] and bare[0] in "\x02rRuU" and bare.lstrip("rRuU")[:1] == "\x02":
+                doc = _docstring(text, starts[i])
+                if doc is not None:
+                    # under the first line of the statement before it
+                    rows.append((head[before - 1] + 1, head[before - 1] + 1, "doc", doc, 0))
+            before = i + 1
             change = delta[i]
         else:
             change = bare.count("{") - bare.count("}")

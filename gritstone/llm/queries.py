@@ -64,8 +64,8 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Declarations whose documentation is not trivial."""
-    return docpairs.documented(table(spark, sf, "source_analysis")).select("file_id", "decl_id")
+    """Declarations whose documentation is not trivial, of functions delimited by their nesting."""
+    return docpairs.documented(table(spark, sf, "source_analysis"), with_code=True).select("file_id", "decl_id")
 
 
 def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
