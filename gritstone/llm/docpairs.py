@@ -297,11 +297,12 @@ def _tells(text: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Series:
 def _blocks(rows: DataFrame) -> DataFrame:
     """The rows of each file's latest delivery, once each, with adjacent comment lines and decorator lines joined to blocks."""
     rows = rows.withColumn("newest", F.max("received_at").over(Window.partitionBy("file_id")))
-    rows = rows.where(F.col("received_at").eqNullSafe(F.col("newest")) & (F.col("kind") != "file")).dropDuplicates(["file_id", "kind", "first", "id"])
-    # gaps and islands: among lines of a kind that follow each other, line number less row number is the same
-    island = F.col("first") - F.row_number().over(Window.partitionBy("file_id", "kind").orderBy("first"))
+    rows = rows.where(F.col("received_at").eqNullSafe(F.col("newest")) & (F.col("kind") != "file"))
+    # gaps and islands: among lines of a kind that follow each other, line number less rank is the same; rows of equal deliveries
+    # rank alike, and are one from here on
+    island = F.col("first") - F.dense_rank().over(Window.partitionBy("file_id", "kind").orderBy("first"))
     rows = rows.withColumn("island", F.when(F.col("kind").isin("comment", "decorator"), island).otherwise(F.col("first")))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("first", "text"))))
+    ordered = F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.struct("first", "text"))))
     once = ["delta", "name", "params", "end_line", "qualified"]
     return rows.groupBy("file_id", "kind", "island", "id").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), *(F.first(c).alias(c) for c in once)
