@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from gritstone.llm import leaks
@@ -68,3 +69,32 @@ def test_empty_tables(spark):
     assert found(spark, []) == {} and found(spark, [(1, ITEM, 0)], []) == {}
     with pytest.raises(ValueError):
         found(spark, [], min_words=2, errors=5)
+
+
+def test_words_in_columns_as_one_by_one():
+    texts = [None, "", "--", "Straße STRASSE ze​ta", "a_b-c 12½ ²x naïve Ünï", "İstanbul ΑΣ", "x " * 1000]
+    words, ends = leaks.coded_words(pa.array(texts, pa.string()))
+    starts = [0, *ends[:-1]]
+    assert [words[a:b].tolist() for a, b in zip(starts, ends)] == [[leaks._hash(w) for w in leaks.words_of(t)] for t in texts]
+
+
+@pytest.mark.parametrize(("min_words", "errors"), [(6, 1), (9, 2), (4, 0)])
+def test_every_figure_against_brute_force(spark, min_words, errors):
+    """Few words, so that pieces are hot, items repeat themselves and hits meet in many ways."""
+    rng = random.Random(min_words)
+    words = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 16)))) for i in range(8)]
+    docs = [(d, " ".join(rng.choice([*words, "x"]) for _ in range(rng.randint(0, 30))), 0) for d in range(40)]
+    for block_words in (10, 10**6):
+        got = found(spark, docs, items, min_words=min_words, errors=errors, block_words=block_words)
+        want = {}
+        for d, t, _ in docs:
+            text = t.split()
+            for i, x in items:
+                w = x.split()
+                near = {s: e for s in range(len(w) - min_words + 1) if (e := edit_distance(w[s : s + min_words], text)) <= errors}
+                if near:
+                    run = max(n for a in range(len(w)) for b in range(len(text)) for n in [next((k for k in range(99) if a + k >= len(w) or b + k >= len(text) or w[a + k] != text[b + k]), 0)])
+                    want[d, i] = (min(near.values()), run, len({k for s in near for k in range(s, s + min_words)}))
+        assert set(got) == set(want) and want
+        assert {k: (r.distance, r.longest_run, r.matched_words) for k, r in got.items()} == want
