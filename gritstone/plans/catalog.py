@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coverage, graph, parsing, scoring, state, texts
+from . import coverage, graph, parsing, scoring, shaping, state, store, texts
 
-FAMILIES = (scoring, state, texts, graph, coverage, parsing)
+FAMILIES = (scoring, state, texts, shaping, store, graph, coverage, parsing)
 
 
 def ranked_issues(spark: SparkSession, sf: str) -> DataFrame:
