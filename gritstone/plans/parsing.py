@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.functions import parsing
+from gritstone.functions import lexical, parsing
 from gritstone.operators import resolution
 from gritstone.session import table
 
@@ -36,5 +36,44 @@ def python_call_targets(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.resolve_calls(methods, calls, imports)
 
 
-QUERIES = {f.__name__: f for f in (python_methods, python_calls, python_mutants, python_call_targets)}
-SQL: dict[str, str] = {}
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "source_analysis").select("file_id", "path", "language", "source")
+
+
+def file_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Every import of every file, in whatever language."""
+    return lexical.file_imports(_sources(spark, sf)).select("file_id", "line", "module")
+
+
+def file_test_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every test case of every file, in whatever language."""
+    return lexical.file_test_cases(_sources(spark, sf))
+
+
+def file_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every called name of every file, in whatever language."""
+    return lexical.file_calls(_sources(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (python_methods, python_calls, python_mutants, python_call_targets, file_imports, file_test_cases, file_calls)}
+SQL: dict[str, str] = {
+    # line by line and by extension, which is the same where no import stands in a literal or a comment
+    "file_imports": r"""WITH f AS (SELECT DISTINCT file_id, string_split(path, '.')[-1] AS x, source FROM source_analysis WHERE file_id IS NOT NULL AND source IS NOT NULL),
+      l AS (SELECT file_id, x, unnest(string_split(replace(ltrim(source, chr(65279)), chr(13), ''), chr(10))) AS s, generate_subscripts(string_split(source, chr(10)), 1)::INT AS line FROM f WHERE NOT contains(replace(source, chr(13) || chr(10), ''), chr(13))),
+      m AS (SELECT file_id, line, CASE
+          WHEN x = 'py' THEN coalesce(nullif(regexp_extract(s, '^\s*from\s+([.\w]+)\s+import\b', 1), ''), nullif(regexp_extract(s, '^\s*import\s+([\w.]+)', 1), ''))
+          WHEN x = 'go' THEN nullif(regexp_extract(s, '^(?:import\s+|\t+)(?:[\w.]+ )?"([^"]+)"\s*$', 1), '')
+          WHEN x = 'c' OR x = 'h' THEN nullif(regexp_extract(s, '^\s*#\s*include\s*[<"]([^">]+)', 1), '')
+          WHEN x = 'java' THEN nullif(regexp_extract(s, '^import (?:static )?([\w.*]+);', 1), '')
+          WHEN x = 'rs' THEN nullif(regexp_extract(s, '^\s*use ([^ ;]+);', 1), '')
+          WHEN x = 'rb' THEN nullif(regexp_extract(s, '^\s*require(?:_relative)? ["'']([^"'']+)', 1), '')
+          WHEN x IN ('js', 'mjs', 'cjs', 'ts', 'mts', 'cts') THEN coalesce(nullif(regexp_extract(s, '^(?:import|export)\b(?:[^"'';()=]*\bfrom)?\s*["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(s, '\brequire\(["'']([^"'']+)', 1), '')) END AS module FROM l)
+      SELECT DISTINCT file_id, line, module FROM m WHERE module IS NOT NULL""",
+    # forms that stand on one line; those of Java and Rust lie on two
+    "file_test_cases": r"""WITH f AS (SELECT DISTINCT file_id, string_split(path, '.')[-1] AS x, source FROM source_analysis WHERE file_id IS NOT NULL AND source IS NOT NULL),
+      l AS (SELECT file_id, x, unnest(string_split(replace(source, chr(13), ''), chr(10))) AS s, generate_subscripts(string_split(source, chr(10)), 1)::INT AS line FROM f),
+      m AS (SELECT file_id, line, nullif(CASE WHEN x = 'py' THEN regexp_extract(s, '^\s*(?:async\s+)?def\s+(test\w*)\s*\(', 1) WHEN x = 'go' THEN regexp_extract(s, '^func\s+((?:Test|Benchmark|Example|Fuzz)(?:[^a-z(]\w*)?)\s*\(', 1)
+          WHEN x IN ('js', 'mjs', 'cjs', 'ts', 'mts', 'cts') THEN regexp_extract(s, '^\s*(?:it|test|specify)\(["''`]([^"''`]*)["''`]', 1) WHEN x = 'rb' THEN regexp_extract(s, '^\s*def\s+(test_\w+[?!]?)', 1) ELSE '' END, '') AS name FROM l)
+      SELECT file_id, line, name FROM m WHERE name IS NOT NULL
+      UNION SELECT file_id, 0, 'two lines' FROM f WHERE (x = 'java' AND regexp_matches(source, '@(Test|ParameterizedTest|RepeatedTest)\b')) OR (x = 'rs' AND regexp_matches(source, '#\[(\w+::)*test\]')) OR (x IN ('c', 'h') AND regexp_matches(source, '\bvoid\s+test_?\w+\s*\([^;{]*\)\s*\{'))""",
+}

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as X
-from gritstone.functions.globs import glob_regex
 from gritstone.operators import packing, selection
 from gritstone.session import table
 
@@ -96,10 +95,6 @@ def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return packing.chunks(table(spark, sf, "documents"), "doc_id", "text", 128).select("doc_id", "chunk", "first", "last")
 
 
-def _sql_globs() -> str:
-    return " OR ".join(f"regexp_matches(path, '{glob_regex(g)}')" for g in GLOBS)
-
-
 _DIRS = "[" + ",".join(f"'{d}'" for d in X.EXCLUDED_DIRECTORIES) + "]"
 _PAIRS = "[" + ",".join(f"'{d}'" for d in X.EXCLUDED_PAIRS) + "]"
 _LINES = "string_split(regexp_replace(source, '\\r\\n?', chr(10), 'g'), chr(10))"
@@ -126,7 +121,14 @@ SQL = {
     "mentions_select": "SELECT doc_id FROM documents WHERE (contains(text, 'mutant') OR contains(text, 'lease agreement')) AND NOT contains(text, 'survives')",
     "lexical_rank": """WITH r AS (SELECT list_distinct(regexp_extract_all('every lease agreement must keep its link to the court filing it came from, and no mutant may survive in the method that handles it', '[a-z]{4,}')) AS w)
       SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda x: list_contains(w, x)))::BIGINT AS score FROM documents, r WHERE text IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20""",
-    "glob_select": f"SELECT DISTINCT repo, path FROM source_analysis WHERE {_sql_globs()}",
+    # written out, apart from the engine's own reading of globs
+    "glob_select": r"SELECT DISTINCT repo, path FROM source_analysis WHERE regexp_matches(path, '^src/(.*/)?[^/]*\.(js|ts)$') OR regexp_matches(path, '^web/[^/]*_store_[^/]*$') OR starts_with(path, 'lib/') OR regexp_matches(path, '^internal/(.*/)?loan_[^/]*$')",
+    "question_batches": """WITH RECURSIVE q AS (SELECT repo, type, count(*) + 32 AS size FROM findings WHERE repo IS NOT NULL AND finding_id IS NOT NULL GROUP BY repo, type),
+      fit AS (SELECT repo, type, size, row_number() OVER (PARTITION BY repo ORDER BY type) AS i FROM q WHERE size <= 5500),
+      w AS (SELECT repo, type, i, size AS used, 1 AS held, 0 AS batch FROM fit WHERE i = 1
+        UNION ALL SELECT f.repo, f.type, f.i, CASE WHEN w.used + f.size > 5500 OR w.held >= 8 THEN f.size ELSE w.used + f.size END, CASE WHEN w.used + f.size > 5500 OR w.held >= 8 THEN 1 ELSE w.held + 1 END, w.batch + CASE WHEN w.used + f.size > 5500 OR w.held >= 8 THEN 1 ELSE 0 END
+        FROM w JOIN fit f ON f.repo = w.repo AND f.i = w.i + 1)
+      SELECT repo, type, batch FROM w UNION ALL SELECT repo, type, -1 FROM q WHERE size > 5500""",
     "exclusions": f"""WITH p AS (SELECT DISTINCT repo, path, string_split(path, '/') AS x FROM source_analysis WHERE path IS NOT NULL)
       SELECT repo, path FROM p WHERE regexp_matches(path, '\\.min\\.([cm]?[jt]s|[jt]sx)$') OR list_has_any(x[:-2], {_DIRS}) OR list_has_any(list_transform(range(1, greatest(len(x) - 1, 1)), lambda i: x[i] || '/' || x[i + 1]), {_PAIRS}) OR len(list_filter(x[:-2], lambda d: regexp_matches(d, '^cmake-build-.+'))) > 0""",
     "language_map": f"SELECT CASE string_split(path, '.')[-1] {_EXT} END AS language, count(DISTINCT file_id) AS files FROM source_analysis GROUP BY 1",
