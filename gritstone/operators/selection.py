@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.functions.attributes import Attributes
 from gritstone.functions.globs import glob_regex
+from gritstone.functions.text import eligible_path
 
 
 def matches_any(path: Column, globs: Sequence[str]) -> Column:
@@ -86,3 +89,74 @@ def override_merge(rules: DataFrame, name: str = "name", order: str = "load_orde
     """Of rules of one name the one that was read last."""
     w = Window.partitionBy(name).orderBy(F.desc(order))
     return rules.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+#: Manifests by the end of their path, and what lies beside them that a tool writes; ``..`` is the folder above, an empty name the
+#: manifest's own folder. Fixed values.
+MANIFESTS = (
+    (r"(?i)[^/]*\.(?:cs|fs|vb)proj", ("bin", "Bin", "obj", "Obj")),
+    (r"mix\.exs|rebar\.config", ("deps",)),
+    (r"hardhat\.config\.(?:[cm]?js|[cm]?ts)", ("cache", "artifacts")),
+    (r"foundry\.toml", ("cache", "broadcast")),
+    (r"ProjectSettings/ProjectVersion\.txt", ("Library", "Temp", "Obj", "Logs", "UserSettings", "Builds")),
+    (r"[^/]*\.uproject", ("Binaries", "Intermediate", "Saved")),
+    (r"pyvenv\.cfg", ("",)),
+)
+#: Slices in which a repository's attribute files are repeated, as one repository may hold a third of all paths.
+SLICES = 16
+
+
+def project_output(tree: DataFrame) -> DataFrame:
+    """``(repo, directory)``: folders that the tools of a tracked manifest write to, below that manifest's own folder only. ``tree``
+    has ``repo`` and ``path``; manifests in folders that are left out anyway do not count."""
+    rows = None
+    for pattern, names in MANIFESTS:
+        held = tree.where(F.col("path").rlike(f"(?:^|/)(?:{pattern})$") & eligible_path(F.col("path")))
+        root = F.regexp_replace("path", f"(?:{pattern})$", "")
+        one = held.select("repo", F.explode(F.array(*(F.concat(root, F.lit(n)) for n in names))).alias("directory"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.select("repo", F.regexp_replace("directory", "/$", "").alias("directory")).where("directory <> ''").distinct()
+
+
+def attribute_flags(files: DataFrame, names: Sequence[str] = ("linguist-generated", "linguist-vendored")) -> DataFrame | None:
+    """``(repo, path, flags)``: of each path of ``files`` (``repo``, ``path``, ``source``, ``received_at``) the attributes among ``names`` that
+    an attribute file of its repository specifies, as a map of flags. The latest delivery of an attribute file counts. None where
+    there is no attribute file."""
+    texts = files.where("repo IS NOT NULL AND (path = '.gitattributes' OR path LIKE '%/.gitattributes')").select("repo", "path", "source", "received_at")
+    if texts.isEmpty():
+        return None
+    texts = texts.groupBy("repo", "path").agg(F.max(F.struct("received_at", "source")).alias("r")).select("repo", F.struct("path", F.col("r.source").alias("source")).alias("file"))
+    # a repository's attribute files are few beside its paths
+    rules = texts.groupBy("repo").agg(F.collect_list("file").alias("files")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    paths = files.where("path IS NOT NULL AND repo IS NOT NULL").select("repo", "path").distinct().withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(SLICES)).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Attributes] = {}
+        for pdf in batches:
+            flags = []
+            for repo, path, held in zip(pdf.repo, pdf.path, pdf.files):
+                if repo not in known:
+                    if len(known) >= 200:
+                        known.clear()
+                    known[repo] = Attributes([(f["path"], f["source"]) for f in held])
+                found = known[repo].of(path)
+                flags.append([(n, found[n]) for n in names if n in found])
+            yield pd.DataFrame({"repo": pdf.repo, "path": pdf.path, "flags": flags})
+
+    told = paths.join(rules, ["repo", "slice"]).select("repo", "path", "files").mapInPandas(run, "repo string, path string, flags array<struct<k: string, v: boolean>>")
+    return told.select("repo", "path", F.map_from_entries("flags").alias("flags"))
+
+
+def select_files(files: DataFrame) -> DataFrame:
+    """``(repo, path)`` of the files that are source: what attribute files say decides, both ways; else no folder on the way may hold
+    dependencies, output, or what a manifest's tools write. ``files`` as for ``attribute_flags``."""
+    tree = files.where("repo IS NOT NULL AND path IS NOT NULL").select("repo", "path").distinct()
+    parts = F.split("path", "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    written = tree.select("repo", "path", F.explode(folders).alias("directory")).join(project_output(tree), ["repo", "directory"], "left_semi").select("repo", "path").distinct()
+    plain = tree.where(eligible_path(F.col("path"))).join(written, ["repo", "path"], "left_anti")
+    flags = attribute_flags(files)
+    if flags is None:
+        return plain
+    said = flags.where(F.size("flags") > 0).select("repo", "path", F.exists(F.map_values("flags"), lambda v: v).alias("out"))
+    return plain.join(said, ["repo", "path"], "left_anti").unionByName(said.where("NOT out").select("repo", "path"))

@@ -15,13 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, a laptop) a folder of
+    this machine is made. On a cluster without the setting this is an error, since executors could not read such a folder.
     """
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at:
         return at
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gritstone-checkpoint-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        at = tempfile.mkdtemp(prefix="gritstone-checkpoint-")
     sc.setCheckpointDir(at)
     return sc.getCheckpointDir() or at
 
