@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.functions import attributes, lexing
+from gritstone.functions import lexing
+from gritstone.operators.selection import attribute_flags
 from gritstone.session import checkpointed
 
 #: Share of the text of code lines that is left when lines equal but for their numbers count once; generated at or below. The
@@ -199,29 +200,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def declared(files: DataFrame) -> DataFrame | None:
     """``(repo, path, declared_generated, declared_vendored)`` of the files that an attribute file of their repository speaks of; the
     latest delivery of each attribute file counts. None where there is no attribute file."""
-    texts = files.where("repo IS NOT NULL AND (path = '.gitattributes' OR path LIKE '%/.gitattributes')").select("repo", "path", "source", "received_at")
-    if texts.isEmpty():
+    flags = attribute_flags(files)
+    if flags is None:
         return None
-    rules = newest(texts, ["repo", "path"], ["source"]).groupBy("repo").agg(F.collect_list(F.struct("path", "source")).alias("files"))
-    paths = files.where("path IS NOT NULL AND repo IS NOT NULL").select("repo", "path").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for pdf in batches:
-            out = []
-            for repo, path, files in zip(pdf.repo, pdf.path, pdf.files):
-                if repo not in known:
-                    if len(known) >= 200:
-                        known.clear()
-                    known[repo] = attributes.Attributes([(f["path"], f["source"] or "") for f in files])
-                found = known[repo].of(path)
-                out.append((repo, path, found.get("linguist-generated"), found.get("linguist-vendored")))
-            yield pd.DataFrame(out, columns=["repo", "path", "declared_generated", "declared_vendored"]).astype({"declared_generated": object, "declared_vendored": object})
-
-    # a repository's attribute files are few beside its paths, and are repeated in slices as a repository may hold a third of them
-    sliced = rules.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    met = paths.withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(SLICES)).cast("int")).join(sliced, ["repo", "_slice"]).drop("_slice")
-    return met.mapInPandas(run, "repo string, path string, declared_generated boolean, declared_vendored boolean")
+    return flags.select("repo", "path", *(F.try_element_at("flags", F.lit(f"linguist-{k}")).alias(f"declared_{k}") for k in ("generated", "vendored")))
 
 
 def path_patterns(path: Column) -> Column:
