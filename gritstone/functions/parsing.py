@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gritstone.functions import lexing
+
 # What an operator becomes in a mutant; fixed values.
 BOUNDARY = {ast.Lt: "<=", ast.LtE: "<", ast.Gt: ">=", ast.GtE: ">", ast.Eq: "!=", ast.NotEq: "=="}
 ARITHMETIC = {ast.Add: "-", ast.Sub: "+", ast.Mult: "/", ast.Div: "*", ast.Mod: "*", ast.FloorDiv: "*"}
@@ -244,3 +246,32 @@ def module_candidates(language: str):
         return pd.Series([pick(p, m) if p and m else [] for p, m in zip(path, module)])
 
     return candidates
+
+
+TABLES = "file_id long, received_at timestamp, kind string, path string, id string, qualified_name string, name string, line int, alias string, module string"
+
+
+def python_tables(files: DataFrame) -> DataFrame:
+    """The methods, calls and imports of the latest delivery of every Python file, from one parse, told apart by ``kind``: ``file`` (one
+    per file of any language), ``method``, ``call`` (``id`` is the caller) and ``import``. ``files`` has ``file_id``, ``path``, ``language``, ``source``
+    and ``received_at``; no text is shuffled. A file is Python by its language, however spelt, else by its extension."""
+    names = [c.split()[0] for c in TABLES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file_id, path, language, source, at in zip(pdf.file_id, pdf.path, pdf.language, pdf.source, pdf.received_at):
+                at = None if at is pd.NaT else at
+                rows.append((file_id, at, "file", path, None, None, None, None, None, None))
+                if path is None or source is None or lexing.language_of(language, path) != "python":
+                    continue
+                rows += [(file_id, at, "method", path, r[1], r[3], r[2], r[4], None, None) for r in methods_of(file_id, path, source)]
+                rows += [(file_id, at, "call", path, r[1], None, r[2], r[3], None, None) for r in calls_of(file_id, path, source)]
+                rows += [(file_id, at, "import", path, None, None, r[4], None, r[2], r[3]) for r in imports_of(file_id, path, source)]
+            out = pd.DataFrame(rows, columns=names)
+            out["line"] = out["line"].astype("Int32")
+            yield out
+
+    rows = files.where("file_id IS NOT NULL").select(F.col("file_id").cast("long").alias("file_id"), "path", "language", "source", "received_at").mapInPandas(run, TABLES)
+    newest = F.max("received_at").over(Window.partitionBy("file_id"))
+    return rows.withColumn("newest", newest).where(F.col("received_at").eqNullSafe(F.col("newest"))).drop("newest", "received_at").distinct()

@@ -74,7 +74,8 @@ def lexical_rank(units: DataFrame, rule_text: str, unit: str, text: str) -> Data
 def comment_blocks(lines: DataFrame) -> DataFrame:
     """``(id, first_line, last_line)``: runs of successive comment lines of ``lines(id, line_no, line)``, by gaps and islands."""
     only = lines.where(F.col("line").rlike(r"^\s*(//|#|--|/\*|\*)"))
-    island = F.col("line_no") - F.row_number().over(Window.partitionBy("id").orderBy("line_no"))
+    # lines that are there twice rank alike
+    island = F.col("line_no") - F.dense_rank().over(Window.partitionBy("id").orderBy("line_no"))
     return only.withColumn("island", island).groupBy("id", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")).drop("island")
 
 

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import lexical, parsing
 from gritstone.operators import resolution
-from gritstone.session import table
+from gritstone.session import checkpointed, table
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "source_analysis").groupBy("file_id").agg(F.min("path").alias("path"), F.max_by("source", "received_at").alias("source"))
+    """Every delivery; as a file's deliveries have one content, rows drawn from them are made distinct and no text is shuffled."""
+    return table(spark, sf, "source_analysis").select("file_id", "path", "source")
 
 
 def python_methods(spark: SparkSession, sf: str) -> DataFrame:
-    return parsing.python_methods(_files(spark, sf)).drop("params", "decorators")
+    return parsing.python_methods(_files(spark, sf)).drop("params", "decorators").distinct()
 
 
 def python_calls(spark: SparkSession, sf: str) -> DataFrame:
-    return parsing.python_calls(_files(spark, sf))
+    """Every called name of a function, once per line."""
+    return parsing.python_calls(_files(spark, sf)).distinct()
 
 
 def python_mutants(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,12 +29,11 @@ def python_mutants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def python_call_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Every call of a Python file with the method it means, if the repository has it."""
-    files = _files(spark, sf)
-    paths = files.select("file_id", "path")
-    methods = parsing.python_methods(files).join(paths, "file_id").select("id", "path", "qualified_name")
-    calls = parsing.python_calls(files).join(paths, "file_id").select("caller", "path", "name", "line")
-    imports = resolution.resolve_imports(parsing.python_imports(files), paths, parsing.module_candidates("python"))
+    """Every call of a Python file with the method it means, if the repository has it. One parse of each file gives all three tables."""
+    rows = checkpointed(parsing.python_tables(table(spark, sf, "source_analysis").select("file_id", "path", "language", "source", "received_at")))
+    kind = lambda k: rows.where(F.col("kind") == k)
+    methods, calls = kind("method").select("id", "path", "qualified_name"), kind("call").select(F.col("id").alias("caller"), "path", "name", "line")
+    imports = resolution.resolve_imports(kind("import").select("path", "alias", "module", "name"), kind("file").select("path").where("path IS NOT NULL"), parsing.module_candidates("python"))
     return resolution.resolve_calls(methods, calls, imports)
 
 

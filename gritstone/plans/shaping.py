@@ -13,8 +13,9 @@ from .scoring import _issues, _raised, _severity, _SEV
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Each file once, whatever its deliveries."""
-    files = table(spark, sf, "source_analysis").where("file_id IS NOT NULL AND source IS NOT NULL").dropDuplicates(["file_id"])
+    """The lines of each delivery of a file. Deliveries have one content, so that what is drawn from them is made distinct in the end
+    and no text is shuffled."""
+    files = table(spark, sf, "source_analysis").where("file_id IS NOT NULL AND source IS NOT NULL")
     return files.select("file_id", "repo", "path", "declarations", text.lines_of(F.col("source")).alias("lines"))
 
 
@@ -25,17 +26,17 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
 
 def unit_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """The hash of each declaration as a question shows it, its leading comment included."""
-    return _units(spark, sf).select("file_id", "decl_id", F.sha2(S.shown_source(F.col("lines"), F.col("line"), F.col("end_line")), 256).alias("hash"))
+    return _units(spark, sf).select("file_id", "decl_id", F.sha2(S.shown_source(F.col("lines"), F.col("line"), F.col("end_line")), 256).alias("hash")).distinct()
 
 
 def unit_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of eight lines about the middle of each declaration."""
     middle = F.floor((F.col("line") + F.col("end_line")) / 2).cast("int")
-    return _units(spark, sf).select("file_id", "decl_id", F.md5(S.excerpt(F.col("lines"), F.col("line"), F.col("end_line"), 8, middle)).alias("excerpt"))
+    return _units(spark, sf).select("file_id", "decl_id", F.md5(S.excerpt(F.col("lines"), F.col("line"), F.col("end_line"), 8, middle)).alias("excerpt")).distinct()
 
 
 def numbered_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select("file_id", F.md5(S.numbered(F.col("lines"))).alias("numbered"))
+    return _lines(spark, sf).select("file_id", F.md5(S.numbered(F.col("lines"))).alias("numbered")).distinct()
 
 
 def top_level_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,11 +44,11 @@ def top_level_lines(spark: SparkSession, sf: str) -> DataFrame:
     ranges = F.transform(F.filter("declarations", lambda d: d["line"].isNotNull() & d["end_line"].isNotNull()), lambda d: F.struct(d["line"].alias("a"), d["end_line"].alias("z")))
     own = _lines(spark, sf).select("file_id", "lines", F.coalesce(ranges, F.array().cast("array<struct<a:int,z:int>>")).alias("r"))
     spans = own.select("file_id", F.transform("lines", lambda x, i: F.when(~F.exists("r", lambda d: (d["a"] <= i + 1) & (i + 1 <= F.greatest(d["a"], d["z"]))), x)).alias("span"))
-    return spans.select("file_id", F.md5(S.shown_lines(F.col("span"))).alias("top_level"))
+    return spans.select("file_id", F.md5(S.shown_lines(F.col("span"))).alias("top_level")).distinct()
 
 
 def body_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return _units(spark, sf).select("file_id", "decl_id", S.body_lines(F.col("line"), F.col("end_line")).alias("b")).select("file_id", "decl_id", F.col("b.from").alias("first"), F.col("b.to").alias("last"))
+    return _units(spark, sf).select("file_id", "decl_id", S.body_lines(F.col("line"), F.col("end_line")).alias("b")).select("file_id", "decl_id", F.col("b.from").alias("first"), F.col("b.to").alias("last")).distinct()
 
 
 def limited_documents(spark: SparkSession, sf: str) -> DataFrame:

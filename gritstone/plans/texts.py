@@ -28,7 +28,8 @@ def code_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def comment_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "source_analysis").where("source IS NOT NULL").groupBy("file_id").agg(F.min("source").alias("source"))
+    # the lines of a file's deliveries are the same, and only those of comments are shuffled
+    files = table(spark, sf, "source_analysis").where("source IS NOT NULL")
     lines = files.select(F.col("file_id").alias("id"), F.posexplode(X.lines_of(F.col("source"))).alias("line_no", "line"))
     return selection.comment_blocks(lines).select(F.col("id").alias("file_id"), (F.col("first_line") + 1).alias("first_line"), (F.col("last_line") + 1).alias("last_line"))
 
