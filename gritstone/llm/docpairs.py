@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from gritstone.functions import lexing
 
-ROW = "file_id long, received_at timestamp, first int, last int, kind string, text string, delta int, id string, name string, params string, end_line int, qualified string"
+ROW = "file_id long, received_at timestamp, first int, last int, kind string, text string, delta int, id string, name string, params string, end_line int, qualified string, code string"
 
 _DECORATOR = {"python": "@", "javascript": "@", "typescript": "@", "java": "@", "rust": "#[", "c": "[["}
 _OPEN = str.maketrans({"[": "(", "{": "(", "]": ")", "}": ")"})
@@ -179,31 +179,54 @@ def _signature(raw: list[str], lines: list[str], at: int, wanted: set[int]) -> s
     return " ".join(taken)
 
 
-def _lexer(nesting: bool):
+def _code(raw: list[str], line: int, end: int | None, changes: dict[int, int]) -> str:
+    """The lines of a declaration, from its own on: to its end where that is known, else to the line on which
+    its nesting is closed, which is as far as any end that is found for it."""
+    if end is None:
+        depth, end, opened = 0, line, False
+        for at in range(line, len(raw) + 1):
+            depth += changes.get(at, 0)
+            opened = opened or depth > 0
+            if opened and depth <= 0 or depth < 0:
+                end = at
+                break
+        else:
+            end = len(raw)
+    return "\n".join(raw[line - 1 : max(end, line)])
+
+
+def _lexer(nesting: bool, with_text: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
             for file_id, path, language, source, declarations, at in zip(pdf.file_id, pdf.path, pdf.language, pdf.source, pdf.declarations, pdf.received_at):
                 at = None if at is pd.NaT else at
-                out.append((file_id, at, 0, 0, "file", None, 0, None, None, None, None, None))
+                out.append((file_id, at, 0, 0, "file", None, 0, None, None, None, None, None, None))
                 name = lexing.language_of(language, path)
                 if name is None or source is None or declarations is None or not len(declarations):
                     continue
                 wanted = {int(d["line"]) for d in declarations if _known(d["line"])}
                 ends: dict[int, int] | None = {} if nesting else None
                 heads: dict[int, str] = {}
-                for first, last, kind, text, delta in lex_rows(source, name, wanted, ends, heads):
+                rows = lex_rows(source, name, wanted, ends, heads)
+                for first, last, kind, text, delta in rows:
                     if nesting or kind != "code":
-                        out.append((file_id, at, first, last, kind, text, delta, None, None, None, None, None))
+                        out.append((file_id, at, first, last, kind, text, delta, None, None, None, None, None, None))
+                if with_text:
+                    raw = lexing.clean(source).split("\n")
+                    changes = {r[0]: r[4] for r in rows if r[2] == "code"}
+                    # what could document a declaration: a string below it, a comment or a decorator directly above
+                    told = {r[0] for r in rows if r[2] == "doc"} | {r[1] + 1 for r in rows if r[2] in ("comment", "decorator")}
                 for d in declarations:
                     if d["id"] is None or not _known(d["line"]) or int(d["line"]) not in heads:
                         continue
                     line = int(d["line"])
                     end = int(d["end_line"]) if _known(d["end_line"]) else (ends or {}).get(line)
-                    out.append((file_id, at, line, line, "decl", None, 0, d["id"], d["name"], heads[line], end, d["qualified_name"]))
-            rows = pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
-            rows["end_line"] = rows["end_line"].astype("Int32")
-            yield rows
+                    code = _code(raw, line, end, changes) if with_text and line in told else None
+                    out.append((file_id, at, line, line, "decl", None, 0, d["id"], d["name"], heads[line], end, d["qualified_name"], code))
+            held = pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
+            held["end_line"] = held["end_line"].astype("Int32")
+            yield held
 
     return run
 
@@ -303,7 +326,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     island = F.col("first") - F.dense_rank().over(Window.partitionBy("file_id", "kind").orderBy("first"))
     rows = rows.withColumn("island", F.when(F.col("kind").isin("comment", "decorator"), island).otherwise(F.col("first")))
     ordered = F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.struct("first", "text"))))
-    once = ["delta", "name", "params", "end_line", "qualified"]
+    once = ["delta", "name", "params", "end_line", "qualified", *(["code"] if "code" in rows.columns else [])]
     return rows.groupBy("file_id", "kind", "island", "id").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), *(F.first(c).alias(c) for c in once)
     )
@@ -324,14 +347,16 @@ def _with_docs(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("doc", F.concat_ws("\n", over, above, F.col("docstring")))
 
 
-def documented(files: DataFrame, with_code: bool = False) -> DataFrame:
+def documented(files: DataFrame, with_code: bool = False, with_text: bool = False) -> DataFrame:
     """``(file_id, decl_id, name, qualified_name, line, doc)`` for every declaration of ``files`` (the columns of
-    source_analysis) whose documentation is not trivial; ``with_code`` adds ``end_line``, computed where it was missing."""
+    source_analysis) whose documentation is not trivial; ``with_code`` adds ``end_line``, computed where it was missing, and
+    ``with_text`` the declaration's lines as ``code``, cut where the text is read, so that no text is shuffled but theirs."""
     narrow = F.transform("declarations", lambda d: F.struct(*(d[c].alias(c) for c in ("id", "name", "qualified_name", "line", "end_line"))))
     wanted = files.where("file_id IS NOT NULL").select(F.col("file_id").cast("long").alias("file_id"), "path", "language", "source", narrow.alias("declarations"), "received_at")
-    rows = _with_docs(_blocks(wanted.mapInPandas(_lexer(with_code), ROW)))
+    lexed = wanted.mapInPandas(_lexer(with_code or with_text, with_text), ROW)
+    rows = _with_docs(_blocks(lexed if with_text else lexed.drop("code")))
     keep = ["file_id", F.col("id").alias("decl_id"), "name", F.col("qualified").alias("qualified_name"), F.col("first").alias("line"), "doc"]
-    if with_code:
+    if with_code or with_text:
         # a line that closes nesting closes each level down to the one it leaves; a declaration waits for its own level
         levels = F.when(F.col("kind") == "decl", F.array("depth")).when(F.col("delta") < 0, F.sequence("depth", F.col("depth") - F.col("delta") - 1))
         rows = rows.withColumn("level", F.explode(levels))
@@ -339,6 +364,8 @@ def documented(files: DataFrame, with_code: bool = False) -> DataFrame:
         closes = F.first(F.when(F.col("kind") == "code", F.col("last")), ignorenulls=True).over(later)
         rows = rows.withColumn("end_line", F.coalesce("end_line", closes, "first"))
         keep.append("end_line")
+    if with_text:
+        keep.append(F.array_join(F.slice(F.split("code", "\n"), 1, F.greatest(F.col("end_line") - F.col("first") + 1, F.lit(1))), "\n").alias("code"))
     return rows.where((F.col("kind") == "decl") & (F.trim("doc") != "")).where(_tells("doc", "name", "params")).select(*keep)
 
 
@@ -349,8 +376,5 @@ def _own_words(doc: pd.Series) -> pd.Series:
 
 def code_doc_pairs(files: DataFrame) -> DataFrame:
     """``(file_id, decl_id, qualified_name, code, documentation)``: each documented function's lines and its documentation."""
-    text = F.regexp_replace(F.regexp_replace("source", "^\ufeff", ""), "\r\n?", "\n")
-    newest = files.where("file_id IS NOT NULL AND source IS NOT NULL").groupBy("file_id").agg(F.max_by("source", "received_at").alias("source"))
-    pairs = documented(files, with_code=True).join(newest.select("file_id", F.split(text, "\n").alias("lines")), "file_id")
-    code = F.array_join(F.slice("lines", F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1))), "\n")
-    return pairs.select("file_id", "decl_id", "qualified_name", code.alias("code"), _own_words("doc").alias("documentation"))
+    pairs = documented(files, with_text=True)
+    return pairs.select("file_id", "decl_id", "qualified_name", "code", _own_words("doc").alias("documentation"))
