@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coverage, graph, parsing, questions, scoring, shaping, state, store, texts
+from . import coverage, graph, lookups, parsing, questions, scoring, shaping, state, store, texts
 
-FAMILIES = (scoring, questions, state, texts, shaping, store, graph, coverage, parsing)
+FAMILIES = (scoring, questions, state, texts, shaping, store, lookups, graph, coverage, parsing)
 
 
 def ranked_issues(spark: SparkSession, sf: str) -> DataFrame:
