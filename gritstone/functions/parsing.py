@@ -108,8 +108,52 @@ def calls_of(file_id: int, path: str, source: str | None) -> list[tuple]:
     return rows
 
 
+#: Functions of the module for regular expressions whose first argument is one.
+_REGEX_CALLS = frozenset(f"re.{n}" for n in "compile match fullmatch search sub subn split findall finditer".split())
+_FLIPPED = {c: c.swapcase() for c in "dDwWsS"}
+
+
+def regex_edits(pattern: str) -> list[str]:
+    """What a regular expression can become by one edit, in the order of place: an anchor or a boundary dropped, a quantifier loosened
+    or tightened, a class turned into its complement."""
+    out = [pattern[1:]] if pattern.startswith("^") else []
+    escaped_end = (len(pattern) - len(pattern[:-1].rstrip("\\"))) % 2 == 0 if pattern.endswith("$") else False
+    if pattern.endswith("$") and not escaped_end:
+        out.append(pattern[:-1])
+    at = 0
+    while at < len(pattern):
+        c, before, after = pattern[at], pattern[at - 1] if at else "", pattern[at + 1 : at + 2]
+        edit = None
+        if c == "\\" and after:
+            edit = (at + 1, 1, _FLIPPED[after]) if after in _FLIPPED else (at, 2, "") if after == "b" else None
+            width = 2
+        else:
+            edit = (at, 1, "*") if c == "+" else (at, 1, "+") if c == "*" else (at, 1, "") if c == "?" and at and before not in "(+*?}" else (at + 1, 1, "") if c == "[" and after == "^" else None
+            width = 1
+        if edit:
+            out.append(pattern[: edit[0]] + edit[2] + pattern[edit[0] + edit[1] :])
+        at += width
+    return out
+
+
+def _emptied(node: ast.AST) -> str | None:
+    """A literal collection that holds something, without it."""
+    if isinstance(node, (ast.List, ast.Tuple, ast.Set)) and node.elts and isinstance(getattr(node, "ctx", ast.Load()), ast.Load):
+        return {ast.List: "[]", ast.Tuple: "()", ast.Set: "set()"}[type(node)]
+    return "{}" if isinstance(node, ast.Dict) and node.keys else None
+
+
+def _text_of(body: list[ast.stmt]) -> str:
+    return "\n".join(map(ast.unparse, body))
+
+
+def _does_something(body: list[ast.stmt]) -> bool:
+    return any(not isinstance(n, ast.Pass) for n in body)
+
+
 def mutants_of(file_id: int, path: str, source: str | None) -> list[tuple]:
-    """Rows of ``MUTANTS``: edits of operators, conditions, literals and returns, each named by its place, kind and edit."""
+    """Rows of ``MUTANTS``: edits of operators, conditions, literals, collections, regular expressions, lambdas, returns, blocks and
+    bodies, each named by its place, kind and edit."""
     tree = _tree(source)
     rows, seen = [], set()
     for name, node, _ in _functions(tree) if tree else ():
@@ -122,7 +166,21 @@ def mutants_of(file_id: int, path: str, source: str | None) -> list[tuple]:
                 digest = hashlib.sha1(f"{original}>{mutated}".encode()).hexdigest()[:8]
                 rows.append((file_id, f"{path}::{name}", f"{at.lineno}:{at.col_offset + 1}:{kind}:{digest}", at.lineno, at.col_offset + 1, kind, original, mutated))
 
+        own_body = node.body[1:] if node.body and isinstance(node.body[0], ast.Expr) and id(node.body[0].value) in docs else node.body
+        if own_body and _does_something(own_body):
+            add("body", own_body[0], _text_of(own_body), "pass")
         for n in _own(node):
+            if (empty := _emptied(n)) is not None:
+                add("collection", n, ast.unparse(n), empty)
+            elif isinstance(n, ast.Lambda):
+                add("lambda", n.body, ast.unparse(n.body), "None")
+            elif isinstance(n, ast.Call) and ast.unparse(n.func) in _REGEX_CALLS and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
+                for edit in regex_edits(n.args[0].value):
+                    add("regex", n.args[0], n.args[0].value, edit)
+            for body in (n.body, getattr(n, "orelse", [])) if isinstance(n, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith)) else ():
+                chained = isinstance(n, ast.If) and len(body) == 1 and isinstance(body[0], ast.If) and body is not n.body
+                if body and not chained and _does_something(body):
+                    add("block", body[0], _text_of(body), "pass")
             if isinstance(n, ast.Compare):
                 for op in n.ops:
                     if type(op) in BOUNDARY:

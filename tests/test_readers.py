@@ -124,3 +124,18 @@ def test_streams(spark, tmp_path):
     assert [(r.worker, r.failures) for r in drain(spark, results.failure_runs(stream(), 3), "runs")] == [("w", 3)]
     results.write_once(stream(), str(tmp_path / "out"), str(tmp_path / "cp")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_mutants_of_every_kind():
+    source = 'def f(a):\n    """Doc."""\n    x = [1, 2]\n    (y, z) = a\n    if a:\n        x.append({"k": 1})\n    elif y:\n        pass\n    else:\n        z = ()\n    for i in a:\n        pass\n    return re.match(r"^a+\\b[^x]$", sorted(a, key=lambda v: v.n))\n'
+    rows = {(r[5], r[6], r[7]) for r in parsing.mutants_of(1, "a.py", source)}
+    assert {("collection", "[1, 2]", "[]"), ("collection", "{'k': 1}", "{}"), ("lambda", "v.n", "None"), ("block", "x.append({'k': 1})", "pass"), ("block", "z = ()", "pass"), ("regex", r"^a+\b[^x]$", r"a+\b[^x]$"), ("regex", r"^a+\b[^x]$", r"^a+[^x]$")} <= rows
+    assert sum(r[0] == "body" for r in rows) == 1 and not any(r[0] == "collection" and "y" in r[1] for r in rows) and not any(r[0] == "block" and r[1].startswith(("if", "pass")) for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "edits"),
+    [(r"^a+\d[^x]?$", [r"a+\d[^x]?$", r"^a+\d[^x]?", r"^a*\d[^x]?$", r"^a+\D[^x]?$", r"^a+\d[x]?$", r"^a+\d[^x]$"]), (r"\bx\\+", [r"x\\+", r"\bx\\*"]), (r"a\$", []), (r"a\\$", [r"a\\"]), ("", []), ("?", []), ("(?:a)*?", ["(?:a)+?"])],
+)
+def test_regex_edits(pattern, edits):
+    assert parsing.regex_edits(pattern) == edits
