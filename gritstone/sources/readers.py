@@ -38,28 +38,56 @@ def parse_tree(listing: str) -> list[tuple[str, str, str, int | None, str]]:
 
 
 def git_tree(spark: SparkSession, root: str, revision: str = "HEAD") -> DataFrame:
-    """The tree of a revision as rows."""
-    return spark.createDataFrame(parse_tree(git(root, "ls-tree", "-r", "-l", "-z", revision)), TREE)
+    """The tree of a revision as rows, read in a task from the command's output, a stretch of entries at a time. The revision is
+    looked up first, so that an unknown one is an error at once and the task reads one tree whatever happens to it."""
+    revision = git(root, "rev-parse", "--verify", f"{revision}^{{tree}}").strip()
+    names = [c.split()[0] for c in TREE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            with subprocess.Popen(["git", "-c", "core.hooksPath=/dev/null", "-C", root, "ls-tree", "-r", "-l", "-z", revision], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as child:
+                held = b""
+                while part := child.stdout.read(1 << 20):
+                    whole, zero, rest = (held + part).rpartition(b"\0")
+                    held = rest if zero else held + part
+                    if zero:
+                        out = pd.DataFrame(parse_tree(whole.decode(errors="replace")), columns=names)
+                        out["size"] = out["size"].astype("Int64")
+                        yield out
+                said = child.stderr.read().decode(errors="replace").strip()
+            if child.returncode:
+                raise RuntimeError(said or "git ls-tree failed")
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, TREE)
+
+
+def blob_size(head: bytes) -> int | None:
+    """The size that the head of a blob in a batch names; None where the object is missing, an error for another kind or a size
+    that is no 63-bit number."""
+    fields = head.split()
+    if len(fields) == 2 and fields[1] == b"missing":
+        return None
+    if len(fields) != 3 or fields[1] != b"blob" or not fields[2].isdigit() or int(fields[2]) >= 2**63:
+        raise ValueError(f"not the head of a blob: {head!r}")
+    return int(fields[2])
 
 
 def git_blobs(tree: DataFrame, root: str) -> DataFrame:
-    """``tree`` with ``text``: one batch process per task reads the blobs of its rows."""
+    """``tree`` with ``text``: one batch process per task reads the blobs of its rows; a missing one has a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as child:
+        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as child:
+            for pdf in batches:
                 texts = []
                 for sha in pdf.sha:
                     child.stdin.write(f"{sha}\n".encode())
                     child.stdin.flush()
-                    head = child.stdout.readline().split()
-                    if len(head) != 3:
-                        texts.append(None)
-                        continue
-                    texts.append(child.stdout.read(int(head[2])).decode(errors="replace"))
-                    child.stdout.read(1)
-                child.stdin.close()
-            yield pdf.assign(text=texts)
+                    size = blob_size(child.stdout.readline())
+                    texts.append(None if size is None else child.stdout.read(size).decode(errors="replace"))
+                    if size is not None:
+                        child.stdout.read(1)
+                yield pdf.assign(text=texts)
+            child.stdin.close()
 
     return tree.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in tree.dtypes) + ", text string")
 
