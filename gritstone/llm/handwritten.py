@@ -270,7 +270,6 @@ def classify_files(files: DataFrame, names_decide: bool = False) -> DataFrame:
     generated = F.coalesce("declared_generated", F.col("generated") | repeated)
     vendored = F.coalesce("declared_vendored", F.col("vendored"))
     seeds = latest.join(travels, "file_id", "left").select("file_id", "digest", generated.alias("g"), (vendored | flag("travels")).alias("v"), F.explode("grams").alias("gram"))
-    seeds = checkpointed(seeds)
     # texts fall into 63 classes by digest; as many different texts as classes there are at least
     texts = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(digest, 63L) AS int))")))
     told = seeds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if("g").alias("g"), F.count_if("v").alias("v"), texts.alias("texts")).where(F.col("texts") >= MINED_TEXTS)
