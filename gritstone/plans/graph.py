@@ -60,7 +60,7 @@ def dispatch_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reach_depth3_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return G.reach(_edges(spark, sf), _starts(spark, sf, "true"), 3)
+    return B.reach_from_many(_whole_edges(spark, sf), _starts(spark, sf, "true"), 3)
 
 
 def reach_with_cuts_whole(spark: SparkSession, sf: str) -> DataFrame:
