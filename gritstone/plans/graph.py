@@ -64,7 +64,7 @@ def reach_depth3_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reach_with_cuts_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return G.reach(_edges(spark, sf), _starts(spark, sf, "true"), 3, _cut(spark, sf))
+    return B.reach_from_many(_whole_edges(spark, sf), _starts(spark, sf, "true"), 3, _cut(spark, sf))
 
 
 def dispatch_only_whole(spark: SparkSession, sf: str) -> DataFrame:

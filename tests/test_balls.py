@@ -41,6 +41,12 @@ def test_reached_pairs_are_not_shuffled(spark, tmp_path):
     assert len(rows) > 30_000 and sent < len(rows)
 
 
+def test_pairs_of_a_cut_graph_are_not_shuffled(spark, tmp_path):
+    _lines(spark, tmp_path)
+    rows, sent = _sent(spark, lambda: catalog.queries()["reach_with_cuts_whole"](spark, str(tmp_path)))
+    assert len(rows) > 10_000 and sent < len(rows)
+
+
 def test_same_as_from_few(spark, monkeypatch):
     r = random.Random(5)
     edges = spark.createDataFrame([(f"n{a}", f"n{b}", r.random() < 0.5) for a, b in ((r.randrange(150), r.randrange(150)) for _ in range(500))] + [(None, "n1", True), ("n1", None, True), ("n2", "n2", False)], "source string, target string, plain boolean")
